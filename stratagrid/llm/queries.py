@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import packing, shared, substring_dedup, token_store
 from .shared import table
 
 BLANK = r"[^\x20\x09-\x0D]+"
@@ -17,8 +17,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_store.write(table(spark, sf_dir, "documents"), shared.new_folder(spark, "tokens"), end_id=1)
+    return token_store.digests(spark, manifest)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op6_token_store": op6_token_store,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
