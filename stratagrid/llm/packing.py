@@ -129,7 +129,7 @@ def pack(docs: DataFrame, text: str = "text", carry: list[str] | None = None, to
     sequences hold `capacity` ids, but for those of a task's last ones whose length is a power of two. sequence_id is
     unique in the result and ascends in a task. Repeated rows are packed as often as they come.
     """
-    shared.small_batches(docs.sparkSession)
+    shared.prepare(docs.sparkSession)
     rows = docs.select(F.struct(*(carry or ["doc_id"])).alias("carry"), F.col(text).alias("text"))
     kind = rows.schema["carry"].dataType.simpleString()
     return rows.mapInArrow(_pack(tokenizer or encoding.default_tokenizer(), end_id, capacity, knee), f"carry {kind}, {PIECE}").select("carry.*", *(x.split()[0] for x in PIECE.split(", ")))

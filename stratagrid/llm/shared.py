@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +39,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
+def prepare(spark: SparkSession) -> None:
+    """Before Python runs on executors: small Arrow batches, and this package's source where they can import it."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_package_sent", False):
+        root = pathlib.Path(__file__).resolve().parents[1]
+        path = f"{tempfile.mkdtemp(prefix='package-')}/{root.name}-{os.getpid()}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in root.rglob("*.py"):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(path)
+        sc._package_sent = True
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -135,7 +135,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     for each shard, and shards are of a task's size.
     """
     spark = docs.sparkSession
-    shared.small_batches(spark)
+    shared.prepare(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
