@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
-from tokenizers import Tokenizer
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # an executor runs as many workers as it has cores
+
+from tokenizers import Tokenizer  # noqa: E402
 
 from . import text as tx
 
@@ -41,8 +46,8 @@ class Encoder:
         odd = [i for i, w in enumerate(spelled) if b"<|" in w]
         ids: list = [None] * len(spelled)
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, e in zip(groups, self.tok.encode_batch_fast([self.between.join(spelled[i].decode() for i in g) for g in groups], add_special_tokens=False), strict=True):
-            got = np.array(e.ids, np.uint32)
+        for group in groups:
+            got = np.array(self.tok.encode_batch_fast([self.between.join(spelled[i].decode() for i in group)], add_special_tokens=False)[0].ids, np.uint32)
             for i, x in zip(group, np.split(got, np.flatnonzero(got == self.cut)), strict=True):
                 ids[i] = x[1:] if len(x) and x[0] == self.cut else x
         for i, e in zip(odd, self.tok.encode_batch_fast([spelled[i].decode() for i in odd], add_special_tokens=False), strict=True):
