@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from . import shared, text as tx
 SEED = 3
 STEP = 5
 SUBTREE = 1 << 20
-FLUSH_WORDS = 2 << 20
+FLUSH_WORDS = 6 << 20
 HISTOGRAM = 1 << 16
 ROUTED = "bin int, payload binary, f1 bigint, f2 bigint, k1 bigint, k2 bigint, pos int"
 INTERVAL = "k1 bigint, k2 bigint, start_word int, end_word int"
@@ -74,6 +75,28 @@ def _histogram(window: int, buckets: int):
     return run
 
 
+def _packed(k1, k2, pos, size, w) -> bytes:
+    """Segments as bytes that compress well: words as ranks by frequency, their bytes by significance."""
+    values, where, count = np.unique(w, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(values), np.uint32)
+    rank[order] = np.arange(len(values), dtype=np.uint32)
+    rank = rank[where]
+    head = np.array([len(k1), len(w), len(values)], np.int64)
+    planes = [(rank >> np.uint32(8 * i)).astype(np.uint8) for i in range(4)]
+    return b"".join(x.tobytes() for x in (head, k1, k2, pos.astype(np.uint32), size.astype(np.uint32), values[order], *planes))
+
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    n, m, distinct = (int(x) for x in np.frombuffer(raw, np.int64, 3))
+    out, place = [], 24
+    for kind, count in ((np.int64, n), (np.int64, n), (np.uint32, n), (np.uint32, n), (np.uint32, distinct), *[(np.uint8, m)] * 4):
+        out.append(np.frombuffer(raw, kind, count, place))
+        place += count * np.dtype(kind).itemsize
+    rank = sum(x.astype(np.uint32) << np.uint32(8 * i) for i, x in enumerate(out[5:]))
+    return [*out[:4], out[4][rank]]
+
+
 def _route(window: int, buckets: int, heavy: np.ndarray, bins: int, deep: bool):
     """Segments of light seeds packed by bin, or (deep) a row for each suffix of a heavy seed."""
 
@@ -87,11 +110,11 @@ def _route(window: int, buckets: int, heavy: np.ndarray, bins: int, deep: bool):
         begin = np.cumsum(lengths) - lengths
         edges = np.searchsorted(bin_[order], np.arange(bins + 1))
         ids, payloads = [], []
+        packer = zstandard.ZstdCompressor(level=1)
         for b in np.flatnonzero(np.diff(edges)):
             pick = order[edges[b] : edges[b + 1]]
             w = words[tx.ragged(begin[pick], lengths[pick])]
-            head = np.array([len(pick), len(w)], np.int64)
-            payloads.append(b"".join(x.tobytes() for x in (head, k1[pick], k2[pick], pos[pick].astype(np.uint32), size[pick].astype(np.uint32), w)))
+            payloads.append(packer.compress(_packed(k1[pick], k2[pick], pos[pick], size[pick], w)))
             ids.append(int(b))
         n = len(ids)
         none = pa.nulls(n, pa.int64())
@@ -199,14 +222,11 @@ def _grow(label, words, at, who, depths, level, window):
 def _subtrees(window: int, subtree: int):
     def run(t: pa.Table) -> pa.Table:
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        unpacker = zstandard.ZstdDecompressor()
         for chunk in t.column("payload").chunks:
             for value in chunk:
-                raw = value.as_buffer()
-                n, m = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-                place = 16
-                for c, (kind, count) in zip(cols, ((np.int64, n), (np.int64, n), (np.uint32, n), (np.uint32, n), (np.uint32, m)), strict=True):
-                    c.append(np.frombuffer(raw, kind, count, place))
-                    place += count * np.dtype(kind).itemsize
+                for c, x in zip(cols, _unpacked(unpacker.decompress(value.as_buffer())), strict=True):
+                    c.append(x)
         k1, k2, pos, size, words = (np.concatenate(c) for c in cols)
         size = size.astype(np.int64)
         begin = np.cumsum(size + window - 1) - (size + window - 1)
@@ -230,7 +250,7 @@ def repeated_intervals(docs: DataFrame, text: str = "text", window: int = 35, gr
     group: suffixes that a task gets at most under one seed; subtree: suffixes in memory as one subtree.
     """
     spark = docs.sparkSession
-    shared.small_batches(spark)
+    shared.prepare(spark)
     rows = docs.select(F.col(text).alias("text"), *shared.text_key(F.col(text))).where(F.octet_length("text") >= 2 * window - 1)
     buckets = HISTOGRAM
     while buckets * group < 64 * (shared.text_bytes(docs, text) // 2) and buckets < 1 << 24:
