@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup, packing, shared, substring_dedup, token_store
+from . import decontaminate, near_dedup, packing, quality_rules, shared, substring_dedup, token_store, url_filters
 from .shared import table
 
 BLANK = r"[^\x20\x09-\x0D]+"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER, URL = url_filters.UPPER, url_filters.LOWER, url_filters.URL
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    return held.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", good.alias("good"))
+    return url_filters.judge(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "template", "verdict")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write(table(spark, sf_dir, "documents"), shared.new_folder(spark, "tokens"), end_id=1)
     return token_store.digests(spark, manifest)
@@ -32,6 +52,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_url_filters": op5_url_filters,
     "op6_token_store": op6_token_store,
     "op7_near_dedup": op7_near_dedup,
     "op10_packing": op10_packing,
@@ -49,6 +72,60 @@ kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS t, count(*) A
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op3_decontaminate": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS s
+       FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+       FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, lens WHERE len(w) >= k)),
+m AS (SELECT doc_id, i, dw.k, item FROM dw JOIN bw ON dw.s = bw.s AND dw.k = bw.k),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM m)) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op4_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{BLANK}') AS w FROM documents),
+line AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup
+         FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{BLANK}') GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+hit AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest(range(5)) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+             CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+      FROM d LEFT JOIN line USING (doc_id) LEFT JOIN hit USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 30 * n_words
+            OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines) OR word_chars < 2 * n_words OR word_chars > 30 * n_words) AS kept
+FROM m""",
+    "op5_url_filters": rf"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{URL}', 1), ''), '{UPPER}', '{LOWER}') AS host,
+                  coalesce(regexp_extract(url, '{URL}', 2), '') AS path FROM pages),
+r AS (SELECT *, CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+u AS (SELECT host, path, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '{{n}}', 'g')) AS s FROM (SELECT DISTINCT host, path FROM p)),
+node AS (SELECT host, path, d, s[d] AS child, array_to_string(s[1:d - 1], '/') AS node FROM (SELECT host, path, s, unnest(range(1, len(s) + 1)) AS d FROM u)),
+wide AS (SELECT host, node FROM (SELECT host, node, child, count(*) AS n FROM node GROUP BY ALL) GROUP BY host, node HAVING count(*) >= 8 AND sum(n) < 3 * count(*)),
+part AS (SELECT node.host, path, d, CASE WHEN wide.node IS NULL THEN child ELSE '{{*}}' END AS x FROM node LEFT JOIN wide ON node.host = wide.host AND node.node = wide.node),
+leaf AS (SELECT host, path, coalesce(string_agg(x, '/' ORDER BY d) FILTER (d < len(s)), '') AS parent, coalesce(string_agg(x, '/' ORDER BY d), '') AS template
+         FROM u LEFT JOIN part USING (host, path) GROUP BY host, path, s),
+lab AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels GROUP BY doc_id),
+t AS (SELECT host, parent, template, count(good) AS n, coalesce(sum(good), 0) AS g FROM r JOIN leaf USING (host, path) LEFT JOIN lab ON doc_id = page_id GROUP BY ALL),
+pool AS (SELECT host, parent, sum(n) AS pn, sum(g) AS pg FROM t GROUP BY ALL),
+h AS (SELECT host, (sum(g) + 10.0::DOUBLE * coalesce((SELECT sum(g)::DOUBLE / sum(n) FROM t WHERE n > 0), 1.0)) / (sum(n) + 10.0::DOUBLE) AS hp FROM t GROUP BY host),
+a AS (SELECT t.*, CASE WHEN n = 0 THEN true ELSE abs(g::DOUBLE / n - pg::DOUBLE / pn) <= 1.96::DOUBLE * sqrt(pg::DOUBLE / pn * (1 - pg::DOUBLE / pn) / n) END AS merged
+      FROM t JOIN pool USING (host, parent)),
+j AS (SELECT host, parent, sum(n) AS mn, sum(g) AS mg FROM a WHERE merged GROUP BY ALL),
+q AS (SELECT a.host, a.template, CASE WHEN merged THEN (mg + 10.0::DOUBLE * hp) / (mn + 10.0::DOUBLE) ELSE (g + 10.0::DOUBLE * hp) / (n + 10.0::DOUBLE) END AS purity
+      FROM a LEFT JOIN j USING (host, parent) JOIN h ON h.host = a.host)
+SELECT page_id, r.host, r.path, rule, template,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM r JOIN leaf USING (host, path) JOIN q USING (host, template)""",
     "op7_near_dedup": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BLANK}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x
