@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, quality_rules, shared, substring_dedup, token_store, url_filters
+from . import decontaminate, near_dedup, packing, quality_rules, shared, substring_dedup, token_store, toxicity, url_filters
 from .shared import table
 
 BLANK = r"[^\x20\x09-\x0D]+"
@@ -20,6 +20,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on the labelled ones of sf_dir's documents."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", toxicity.grade(F.col("toxic"), F.col("quality")).alias("grade"))
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return out.select("doc_id", F.element_at("above", 1).alias("p_toxic"), "severity", "grade", "toxic")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -52,6 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
