@@ -171,12 +171,12 @@ def _link(percent: int):
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, region: int = 64, block: int = 4_000_000) -> DataFrame:
-    """A row for each row of docs: doc_id, k1, k2 (key of its text), n_shingles, component_id, kept.
+    """A row for each row of docs: doc_id, k1, k2 (key of its text), n_shingles, component_id, kept, group_key.
 
     Documents are linked where 100 * |common shingles| >= percent * |union|; a component is what links reach, named by
     its least doc_id. kept: doc_id is that (both null counts as equal). A text without words has n_shingles 0 and no
     links, nor has a null. Repeated rows are copies of one another. A component whose doc_ids are all null has a null
-    component_id. region: classes that share a prefix before it goes deeper; block: shingles in a task.
+    component_id; group_key (null without words) names components too, and has no such gap. region: classes that share a prefix before it goes deeper; block: shingles in a task.
     """
     spark = docs.sparkSession
     shared.prepare(spark)
@@ -205,8 +205,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         whole = whole.unionByName(cut.select("d1", "d2").distinct().join(roots, F.col("d1") == F.col("node")).select("d1", "d2", "root"))
     linked = whole.join(classes.select("d1", "d2", "least"), ["d1", "d2"])
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    named = linked.join(least, "root").select("d1", "d2", "component", F.lit(True).alias("linked"))
-    names = classes.select("d1", "d2", "least").join(named, ["d1", "d2"], "left").select("d1", "d2", F.when(F.col("linked"), F.col("component")).otherwise(F.col("least")).alias("component"))
+    named = linked.join(least, "root").select("d1", "d2", "component", "root")
+    names = classes.select("d1", "d2", "least").join(named, ["d1", "d2"], "left").select("d1", "d2", F.when(F.col("root").isNotNull(), F.col("component")).otherwise(F.col("least")).alias("component"), F.coalesce("root", "d1").alias("group_key"))
     out = signed.select("doc_id", "k1", "k2", "n", "d1", "d2").join(names, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "group_key")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, quality_rules, shared, substring_dedup, token_store, toxicity, url_filters
+from . import decontaminate, license_scan, near_dedup, packing, quality_rules, shared, substring_dedup, token_store, toxicity, url_filters, warc
 from .shared import table
 
 BLANK = r"[^\x20\x09-\x0D]+"
@@ -54,7 +54,18 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("k1", "k2")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(table(spark, sf_dir, "pages"), shared.new_folder(spark, "warc"))
+    out = warc.read(spark, files)
+    return out.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", warc.page_of("refers_id").alias("refers_to"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size("found").cast("long").alias("n_found"), "license", "coverage")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_token_store": op6_token_store,
     "op7_near_dedup": op7_near_dedup,
+    "op8_warc": op8_warc,
+    "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
 }
 
