@@ -75,26 +75,29 @@ def _histogram(window: int, buckets: int):
     return run
 
 
+def _planes(x: np.ndarray) -> list[np.ndarray]:
+    return [(x >> np.uint32(8 * i)).astype(np.uint8) for i in range(4)]
+
+
 def _packed(k1, k2, pos, size, w) -> bytes:
-    """Segments as bytes that compress well: words as ranks by frequency, their bytes by significance."""
+    """Segments as bytes that compress well: words as ranks by frequency, distinct words as steps, all by significance."""
     values, where, count = np.unique(w, return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
+    order = np.argsort(-count, kind="stable")  # words as frequent as one another ascend
     rank = np.empty(len(values), np.uint32)
     rank[order] = np.arange(len(values), dtype=np.uint32)
-    rank = rank[where]
     head = np.array([len(k1), len(w), len(values)], np.int64)
-    planes = [(rank >> np.uint32(8 * i)).astype(np.uint8) for i in range(4)]
-    return b"".join(x.tobytes() for x in (head, k1, k2, pos.astype(np.uint32), size.astype(np.uint32), values[order], *planes))
+    steps = np.diff(values[order], prepend=np.uint32(0)).astype(np.uint32)
+    return b"".join(x.tobytes() for x in (head, k1, k2, pos.astype(np.uint32), size.astype(np.uint32), *_planes(steps), *_planes(rank[where])))
 
 
 def _unpacked(raw: bytes) -> list[np.ndarray]:
     n, m, distinct = (int(x) for x in np.frombuffer(raw, np.int64, 3))
     out, place = [], 24
-    for kind, count in ((np.int64, n), (np.int64, n), (np.uint32, n), (np.uint32, n), (np.uint32, distinct), *[(np.uint8, m)] * 4):
+    for kind, count in ((np.int64, n), (np.int64, n), (np.uint32, n), (np.uint32, n), *[(np.uint8, distinct)] * 4, *[(np.uint8, m)] * 4):
         out.append(np.frombuffer(raw, kind, count, place))
         place += count * np.dtype(kind).itemsize
-    rank = sum(x.astype(np.uint32) << np.uint32(8 * i) for i, x in enumerate(out[5:]))
-    return [*out[:4], out[4][rank]]
+    steps, rank = (sum(x.astype(np.uint32) << np.uint32(8 * i) for i, x in enumerate(planes)) for planes in (out[4:8], out[8:]))
+    return [*out[:4], np.cumsum(steps, dtype=np.uint32)[rank]]
 
 
 def _route(window: int, buckets: int, heavy: np.ndarray, bins: int, deep: bool):
@@ -258,7 +261,7 @@ def repeated_intervals(docs: DataFrame, text: str = "text", window: int = 35, gr
     counts = rows.select("text").mapInArrow(_histogram(window, buckets), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     total, heavy = counts.agg(F.sum("n"), F.collect_list(F.when(F.col("n") > group, F.col("bucket")))).head()
     heavy = np.array(sorted(heavy), np.int64)  # at most total / group entries
-    bins = shared.parts(total or 0, max(1, group // 2))
+    bins = shared.parts(total or 0, group)
     light = rows.mapInArrow(_route(window, buckets, heavy, bins, False), ROUTED).select("bin", "payload")
     found = light.groupBy("bin").applyInArrow(_subtrees(window, subtree), INTERVAL)
     if len(heavy):
