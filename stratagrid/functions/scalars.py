@@ -267,12 +267,12 @@ def criterion_of(blocker: Column) -> Column:
 
 
 def interior_block(shape: Column, size: int = 4) -> Column:
-    """(start, end) of a centred slice of at most `size` cells on each axis."""
+    """(start, end) by axis of a slice near the middle, of `size` cells at most; one cell where there is no more."""
 
     def axis(n: Column) -> Column:
-        take = F.least(n, F.lit(size).cast("long"))
-        start = F.floor((n - take) / 2).cast("long")
-        return F.struct(start.alias("start"), (start + take).alias("end"))
+        start = F.greatest(F.floor(n / 2).cast("long") - size // 2, F.lit(0).cast("long"))
+        inner = F.struct(start.alias("start"), F.least(start + size, n).alias("end"))
+        return F.when(n <= 1, F.struct(F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))).otherwise(inner)
 
     return F.transform(shape, axis)
 
@@ -311,3 +311,26 @@ def sniff(content: Column) -> Column:
 
 def verdict(criterion: str, status: Column, note: Column) -> Column:
     return F.struct(F.lit(criterion).alias("id"), status.alias("status"), note.alias("note"))
+
+
+def archiver(centers: Column) -> Column:
+    """The first data center with an archiver's role, else the first; centers: array of (name, roles)."""
+    with_role = F.filter(centers, lambda c: F.exists(c["roles"], lambda r: F.upper(r).contains("ARCHIVER")))
+    return F.coalesce(F.get(with_role, F.lit(0))["name"], F.get(centers, F.lit(0))["name"], F.lit(""))
+
+
+def temporal_span(extents: Column) -> Column:
+    """(begin, end) as dates in text of the first extent that has ranges; its end is present if it goes on.
+
+    extents: array of (ranges: array of (begin, end), ongoing).
+    """
+    first = F.get(F.filter(extents, lambda t: F.size(t["ranges"]) > 0), F.lit(0))
+    r = F.get(first["ranges"], F.lit(0))
+    day = lambda c: F.coalesce(F.substring_index(c, "T", 1), F.lit(""))
+    return F.struct(day(r["begin"]).alias("begin"), F.when(F.coalesce(first["ongoing"], F.lit(False)), "present").otherwise(day(r["end"])).alias("end"))
+
+
+def instruments(platforms: Column) -> Column:
+    """platform/instrument pairs in order, each once, joined by commas; platforms: array of (name, instruments)."""
+    pairs = F.transform(platforms, lambda p: F.when(F.size(p["instruments"]) > 0, F.transform(p["instruments"], lambda i: F.concat(p["name"], F.lit("/"), i))).otherwise(F.array(p["name"])))
+    return F.array_join(F.array_distinct(F.flatten(pairs)), ",")
