@@ -139,7 +139,7 @@ def _scan(templates: dict[str, str], least: float):
             kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("carry"), pa.array(rows, kind)], ["carry", "found"])
 
-    return run
+    return tx.trimmed(run)
 
 
 def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:

@@ -167,7 +167,7 @@ def _link(percent: int):
         if len(rows) > 1:
             yield from settle(rows)
 
-    return run
+    return tx.trimmed(run)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, region: int = 64, block: int = 4_000_000) -> DataFrame:
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared.prepare(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *shared.text_key(F.col(text)))
     lists = ", ".join(f"p{d} array<bigint>" for d in DEPTHS)
-    signed = shared.materialise(rows.select("doc_id", "k1", "k2", "text").mapInArrow(_signed, f"doc_id bigint, k1 bigint, k2 bigint, n bigint, d1 bigint, d2 bigint, {lists}"), "signatures")
+    signed = shared.materialise(rows.select("doc_id", "k1", "k2", "text").mapInArrow(tx.trimmed(_signed), f"doc_id bigint, k1 bigint, k2 bigint, n bigint, d1 bigint, d2 bigint, {lists}"), "signatures")
     classes = shared.materialise(signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(f"p{d}").alias(f"p{d}") for d in DEPTHS)).withColumn("node", F.col("d1")), "classes")
     placed = shared.materialise(regions(classes, region), "regions")
     hubs = placed.groupBy("key").agg(F.min("node").alias("hub"))

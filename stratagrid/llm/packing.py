@@ -118,7 +118,7 @@ def _pack(tokenizer: str, end_id: int, capacity: int, knee: int):
         if tokens:
             yield pool(held, tokens, first)[0]
 
-    return run
+    return tx.trimmed(run)
 
 
 def pack(docs: DataFrame, text: str = "text", carry: list[str] | None = None, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, knee: int = 4096) -> DataFrame:

@@ -72,7 +72,7 @@ def _histogram(window: int, buckets: int):
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bucket", "n"])
 
-    return run
+    return tx.trimmed(run)
 
 
 def _planes(x: np.ndarray) -> list[np.ndarray]:
@@ -157,7 +157,7 @@ def _route(window: int, buckets: int, heavy: np.ndarray, bins: int, deep: bool):
                     seen = {}
         yield from pack(held)
 
-    return run
+    return tx.trimmed(run)
 
 
 def deep_nodes(words: np.ndarray, at: np.ndarray, window: int, subtree: int = SUBTREE) -> np.ndarray:
@@ -243,10 +243,15 @@ def _subtrees(window: int, subtree: int):
         last = np.append(first[1:], len(hit))[: len(first)] - 1
         return pa.table({"k1": k1[seg[first]], "k2": k2[seg[first]], "start_word": place[first].astype(np.int32), "end_word": (place[last] + window).astype(np.int32)})
 
-    return run
+    def tidy(t: pa.Table) -> pa.Table:
+        out = run(t)
+        tx.trim()
+        return out
 
+    return tidy
 
-def repeated_intervals(docs: DataFrame, text: str = "text", window: int = 35, group: int = 2_000_000, subtree: int = SUBTREE) -> DataFrame:
+
+def repeated_intervals(docs: DataFrame, text: str = "text", window: int = 35, group: int = 1_000_000, subtree: int = SUBTREE) -> DataFrame:
     """Intervals of words, [start_word, end_word), that windows occurring twice or more cover, by key of text.
 
     Distinct rows (k1, k2, start_word, end_word); intervals of one text can overlap. Null and short texts have none.
@@ -295,7 +300,7 @@ def _cut(want_text: bool):
             for x in b.drop_columns(["text", "spans"]).append_column("n_words", got["n_words"]).append_column("n_removed", got["n_removed"]).append_column("kept_sha256", got["kept_sha256"]).append_column("kept_text", got["kept_text"]).to_batches():
                 yield x
 
-    return run
+    return tx.trimmed(run)
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, carry: list[str] | None = None, want_text: bool = False, **limits: int) -> DataFrame:

@@ -125,7 +125,7 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int, level: int):
             size = out.finish()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [f"{folder}/{name}"], "documents": pa.array([len(out.ids)], pa.int64()), "tokens": pa.array([out.tokens], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
-    return run
+    return tx.trimmed(run)
 
 
 def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 1, width: int = 4, level: int = 3) -> list:

@@ -152,7 +152,7 @@ def _score(weights: bytes, cuts: list[float]):
                 offsets = pa.array(np.arange(j - i + 1, dtype=np.int32) * k)
                 yield pa.RecordBatch.from_arrays([b.column("carry").slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(above.ravel())), pa.array(above.sum(axis=1))], ["carry", "above", "severity"])
 
-    return run
+    return tx.trimmed(run)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None, limit: float = 0.35) -> DataFrame:
