@@ -166,10 +166,11 @@ def deep_nodes(words: np.ndarray, at: np.ndarray, window: int, subtree: int = SU
     Prefixes of STEP words, then of 2 * STEP and so on, split the suffixes until a group has at most `subtree` of them;
     then its subtree is grown, level by level, without its leaves.
     """
-    label = tx.grams(words.astype(tx.U64), STEP, 41) if len(words) >= STEP else np.zeros(0, tx.U64)
-    depths = [*range(0, window - STEP + 1, STEP)]
-    if depths[-1] + STEP < window:
-        depths.append(window - STEP)
+    step = min(STEP, window)
+    label = tx.grams(words.astype(tx.U64), step, 41)
+    depths = [*range(0, window - step + 1, step)]
+    if depths[-1] + step < window:
+        depths.append(window - step)
     found = np.zeros(len(at), bool)
     groups = [(np.arange(len(at)), 0)]
     while groups:
@@ -257,6 +258,8 @@ def repeated_intervals(docs: DataFrame, text: str = "text", window: int = 35, gr
     Distinct rows (k1, k2, start_word, end_word); intervals of one text can overlap. Null and short texts have none.
     group: suffixes that a task gets at most under one seed; subtree: suffixes in memory as one subtree.
     """
+    if window < SEED:
+        raise ValueError(f"a window has {SEED} words at least")
     spark = docs.sparkSession
     shared.prepare(spark)
     rows = docs.select(F.col(text).alias("text"), *shared.text_key(F.col(text))).where(F.octet_length("text") >= 2 * window - 1)
