@@ -146,7 +146,7 @@ h AS (SELECT host, (sum(g) + 10.0::DOUBLE * coalesce((SELECT sum(g)::DOUBLE / su
 a AS (SELECT t.*, CASE WHEN n = 0 THEN true ELSE abs(g::DOUBLE / n - pg::DOUBLE / pn) <= 1.96::DOUBLE * sqrt(pg::DOUBLE / pn * (1 - pg::DOUBLE / pn) / n) END AS merged
       FROM t JOIN pool USING (host, parent)),
 j AS (SELECT host, parent, sum(n) AS mn, sum(g) AS mg FROM a WHERE merged GROUP BY ALL),
-q AS (SELECT a.host, a.template, CASE WHEN merged THEN (mg + 10.0::DOUBLE * hp) / (mn + 10.0::DOUBLE) ELSE (g + 10.0::DOUBLE * hp) / (n + 10.0::DOUBLE) END AS purity
+q AS (SELECT a.host, a.template, CASE WHEN merged AND mn = 0 THEN NULL WHEN merged THEN (mg + 10.0::DOUBLE * hp) / (mn + 10.0::DOUBLE) ELSE (g + 10.0::DOUBLE * hp) / (n + 10.0::DOUBLE) END AS purity
       FROM a LEFT JOIN j USING (host, parent) JOIN h ON h.host = a.host)
 SELECT page_id, r.host, r.path, rule, template,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity < 0.5 THEN 'block' ELSE 'allow' END AS verdict

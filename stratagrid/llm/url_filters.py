@@ -53,7 +53,9 @@ def templates(paths: DataFrame) -> DataFrame:
 
 
 def purities(pages: DataFrame) -> DataFrame:
-    """(host, parent, template, purity, merged) from pages with host, parent, template and good (null: no label)."""
+    """(host, parent, template, purity, merged) from pages with host, parent, template and good (null: no label).
+
+    purity is null where neither the template nor those merged with it have a label: nothing speaks against them."""
     n, good = F.count("good"), F.sum(F.when(F.col("good"), 1).otherwise(0))
     leaf = pages.groupBy("host", "parent", "template").agg(n.alias("n"), good.alias("g"))
     pool = leaf.groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("g").alias("pg"))
@@ -66,7 +68,7 @@ def purities(pages: DataFrame) -> DataFrame:
     both = both.select("host", "parent", "template", "n", "g", alike.alias("merged"))
     joint = both.where("merged").groupBy("host", "parent").agg(F.sum("n").alias("mn"), F.sum("g").alias("mg"))
     out = both.join(joint, ["host", "parent"], "left").join(hosts, "host")
-    purity = F.when(F.col("merged"), F.expr(f"(mg + {PRIOR} * hp) / (mn + {PRIOR})")).otherwise(F.expr(f"(g + {PRIOR} * hp) / (n + {PRIOR})"))
+    purity = F.when(F.col("merged"), F.when(F.col("mn") > 0, F.expr(f"(mg + {PRIOR} * hp) / (mn + {PRIOR})"))).otherwise(F.expr(f"(g + {PRIOR} * hp) / (n + {PRIOR})"))
     return out.select("host", "parent", "template", purity.alias("purity"), "merged")
 
 
