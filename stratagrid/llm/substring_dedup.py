@@ -34,7 +34,7 @@ from . import shared, text as tx
 SEED = 3
 STEP = 5
 SUBTREE = 1 << 20
-FLUSH_WORDS = 6 << 20
+FLUSH_WORDS = 4 << 20
 HISTOGRAM = 1 << 16
 ROUTED = "bin int, payload binary, f1 bigint, f2 bigint, k1 bigint, k2 bigint, pos int"
 INTERVAL = "k1 bigint, k2 bigint, start_word int, end_word int"

@@ -35,7 +35,7 @@ def constants(n: int, seed: int) -> np.ndarray:
 BYTES = constants(256, 11)
 BASE = int(constants(1, 12)[0])
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -63,7 +63,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of successive runs of rows, of about `limit` bytes or one row."""
     buf, off = buffers(column)
     i, n = 0, len(off) - 1
