@@ -227,13 +227,6 @@ def content_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(name_tokens(url), lambda t: ~timestamp_token(t)))
 
 
-def asset_keys(urls: Column) -> Column:
-    """For each candidate url the tokens that not all candidates share, sorted and joined by +; one candidate: empty."""
-    sets = F.transform(urls, content_tokens)
-    shared = F.aggregate(F.slice(sets, F.lit(2), F.greatest(F.size(sets) - 1, F.lit(0))), sets[0], lambda a, x: F.array_intersect(a, x))
-    return F.when(F.size(urls) > 1, F.transform(sets, lambda s: F.array_join(F.array_sort(F.array_except(s, shared)), "+"))).otherwise(F.transform(urls, lambda _: F.lit("")))
-
-
 def glob_like(pattern: Column) -> Column:
     """An anchored LIKE pattern of a glob in which only * is special; the escape is a backslash."""
     return F.replace(F.replace(F.replace(F.replace(pattern, F.lit("\\"), F.lit("\\\\")), F.lit("%"), F.lit("\\%")), F.lit("_"), F.lit("\\_")), F.lit("*"), F.lit("%"))

@@ -6,6 +6,7 @@ several criteria share, so Spark reuses their shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -64,6 +65,13 @@ class Archive:
         """Records of comparable arrays, with their rank."""
         return self.records.join(self.comparable.select(ID, "name", "rank"), [ID, "name"])
 
+    def settle(self, write: Callable[[DataFrame, str], DataFrame]) -> Archive:
+        """Facts that many criteria read, each computed once: write(table, name) stores a table and returns it as stored."""
+        self.granules, self.arrays = write(self.granules, "granules"), write(self.arrays, "arrays")
+        for name in ("counts", "ranks", "compared"):
+            self.__dict__[name] = write(getattr(self, name), name)
+        return self
+
     def every(self, found: DataFrame, status: Column, note: Column) -> DataFrame:
         return self.counts.join(found, ID, "left").select(ID, status.alias("status"), note.alias("note"))
 

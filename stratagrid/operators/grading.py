@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +18,23 @@ CRITERIA = ["H0", "H2", "H3", "H4", "H5", "V", "S1", "P-md", "P-sz", "G", "T"]
 GRADES = ["A", "B", "C", "D", "F*", "F", "U"]
 
 
-def verdicts(a: Archive) -> dict[str, DataFrame]:
-    """Each criterion's (collection_id, status, note); M too where it is recorded. The grid comes first, since H2 needs it."""
-    grid = grid_verdict(a)
-    out = {"H0": c.h0_parse(a), "H2": c.h2_chunks(a, grid), "H3": c.h3_concat(a), "H4": c.h4_dtypes(a), "H5": c.h5_codecs(a), "V": c.v_coverage(a), "S1": c.s1_cf(a)}
+def verdicts(a: Archive, write: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Each criterion's (collection_id, status, note); M too where it is recorded. The grid comes first, since H2 needs it.
+
+    write(table, name) stores a table: each criterion is then a job of its own, a few at a time, and what grading reads are
+    a dozen small tables. One plan of all of them is planned anew whenever one of its many stages ends.
+    """
+    kept = write or (lambda df, _: df)
+    grid = kept(grid_verdict(a), "verdict-G")
+    todo = {"H0": c.h0_parse, "H2": lambda x: c.h2_chunks(x, grid), "H3": c.h3_concat, "H4": c.h4_dtypes, "H5": c.h5_codecs, "V": c.v_coverage, "S1": c.s1_cf, "P-sz": c.psz_chunks, "T": c.t_time}
     if a.locality is not None:
-        out["P-md"] = c.pmd_locality(a)
-    out |= {"P-sz": c.psz_chunks(a), "G": grid, "T": c.t_time(a)}
+        todo["P-md"] = c.pmd_locality
     if a.materialised is not None:
-        out["M"] = c.m_materialises(a)
-    return out
+        todo["M"] = c.m_materialises
+    plans = {n: f(a) for n, f in todo.items()}
+    with ThreadPoolExecutor(4) as pool:
+        done = dict(zip(plans, pool.map(lambda n: kept(plans[n], f"verdict-{n}"), plans), strict=True))
+    return {n: done.get(n, grid) for n in [*CRITERIA, "M"] if n in done or n == "G"}
 
 
 def wide(found: dict[str, DataFrame]) -> DataFrame:

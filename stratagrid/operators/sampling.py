@@ -60,12 +60,23 @@ def sample(granules: DataFrame, revision: str = "revision_date") -> DataFrame:
     return every.withColumn("place", F.row_number().over(Window.partitionBy(ID).orderBy("begin_time", "granule_id")).cast("long"))
 
 
+def with_asset_keys(candidates: DataFrame) -> DataFrame:
+    """Adds keys: for each of urls, its content tokens that not all have, sorted and joined by +; a single url's is empty.
+
+    Token sets and what they share are columns of their own, so each is computed once for a row.
+    """
+    sets = candidates.withColumn("_sets", F.transform("urls", s.content_tokens))
+    shared = sets.withColumn("_shared", F.aggregate(F.slice("_sets", F.lit(2), F.greatest(F.size("_sets") - 1, F.lit(0))), F.get("_sets", F.lit(0)), lambda a, x: F.array_intersect(a, x)))
+    own = F.transform("_sets", lambda x: F.array_join(F.array_sort(F.array_except(x, "_shared")), "+"))
+    return shared.withColumn("keys", F.when(F.size("urls") > 1, own).otherwise(F.transform("urls", lambda _: F.lit("")))).drop("_sets", "_shared")
+
+
 def pin_asset(candidates: DataFrame) -> DataFrame:
     """(collection_id, granule_id, key, url) from (collection_id, granule_id, urls): the asset that most granules offer.
 
     Ties go to the lesser key; a granule without it keeps its first candidate and has a null key.
     """
-    keyed = candidates.withColumn("keys", s.asset_keys(F.col("urls")))
+    keyed = with_asset_keys(candidates)
     offers = keyed.select(ID, "granule_id", F.explode(F.array_distinct("keys")).alias("key")).groupBy(ID, "key").agg(F.count("*").alias("n"))
     best = offers.groupBy(ID).agg(F.min(F.struct((-F.col("n")).alias("n"), "key")).alias("b")).select(ID, F.col("b.key").alias("best"))
     place = F.array_position("keys", F.col("best"))

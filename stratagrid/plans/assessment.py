@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import diagnosis, facts, grading
 from ..operators.criteria import Archive
 from ..sources import records
+from ..sources.containers import settled
 
 
 def archive_of(docs: DataFrame) -> Archive:
@@ -20,8 +21,8 @@ def archive_of(docs: DataFrame) -> Archive:
 
 
 def assess(docs: DataFrame) -> DataFrame:
-    """collection_id, a struct (status, note) by criterion, grade, blocker."""
-    return grading.grade(grading.wide(grading.verdicts(archive_of(docs))))
+    """collection_id, a struct (status, note) by criterion, grade, blocker. Facts are stored in the shared folder first."""
+    return grading.grade(grading.wide(grading.verdicts(archive_of(docs).settle(settled), settled)))
 
 
 def score(spark: SparkSession, probes: str, inventory: str, diagnoses: str | None = None) -> DataFrame:

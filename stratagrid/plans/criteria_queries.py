@@ -9,6 +9,7 @@ from ..functions import scalars as s
 from ..operators import criteria, facts, grading, grid
 from ..operators.locality import locality
 from ..sources.binding import archive, arrays, view
+from ..sources.containers import settled
 from .catalogue import query
 
 ID = "collection_id"
@@ -321,7 +322,8 @@ def g_precedence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graded(spark: SparkSession, d: str) -> DataFrame:
-    return grading.grade(grading.wide(grading.verdicts(archive(spark, d, whole=True))))
+    """All criteria read the same few facts, so those are stored first."""
+    return grading.grade(grading.wide(grading.verdicts(archive(spark, d, whole=True).settle(settled), settled)))
 
 
 @query(_q(GRADE, "SELECT collection_id, grade FROM gr"))

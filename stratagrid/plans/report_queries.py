@@ -90,8 +90,8 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(KEYED + " SELECT * FROM key")
 def asset_keys(spark: SparkSession, d: str) -> DataFrame:
-    u = _candidates(spark, d)
-    return u.select(ID, "granule_id", F.explode(F.arrays_zip("urls", s.asset_keys(c("urls")).alias("keys"))).alias("z")).select(ID, "granule_id", c("z.urls").alias("url"), c("z.keys").alias("key"))
+    u = sampling.with_asset_keys(_candidates(spark, d))
+    return u.select(ID, "granule_id", F.explode(F.arrays_zip("urls", "keys")).alias("z")).select(ID, "granule_id", c("z.urls").alias("url"), c("z.keys").alias("key"))
 
 
 @query(KEYED + """,

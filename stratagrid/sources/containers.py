@@ -33,6 +33,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df, written once and read again: for tables that many branches of a plan read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def round_trip(df: DataFrame, by: str) -> DataFrame:
     """df as it comes back from a table partitioned by a column."""
     path = scratch(df.sparkSession, "roundtrip")

@@ -73,8 +73,6 @@ def test_tokens(spark):
     assert values(spark, [url, "https://h/a.nc#frag"], s.filename_of) == ["PRD_2020-01-02T03-04-05_v02.B04-x.tif", "a.nc#frag"]
     assert values(spark, [url], s.name_tokens) == [["PRD", "#", "v02", "B04", "x", "tif"]]
     assert values(spark, ["123456", "a1b2c3d4e5f6", "12", "0x1f", "B04", "#"], s.timestamp_token) == [True, True, True, True, False, False]
-    urls = F.array(F.lit("u/S_B02.tif"), F.lit("u/S_B03.tif"))
-    assert value(spark, s.asset_keys(urls)) == ["B02", "B03"] and value(spark, s.asset_keys(F.array(F.lit("u/S_B02.tif")))) == [""]
 
 
 def test_globs(spark):
