@@ -184,9 +184,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = ", ".join(f"p{d} array<bigint>" for d in DEPTHS)
     signed = shared.materialise(rows.select("doc_id", "k1", "k2", "text").mapInArrow(tx.trimmed(_signed), f"doc_id bigint, k1 bigint, k2 bigint, n bigint, d1 bigint, d2 bigint, {lists}"), "signatures")
     classes = shared.materialise(signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(f"p{d}").alias(f"p{d}") for d in DEPTHS)).withColumn("node", F.col("d1")), "classes")
-    placed = shared.materialise(regions(classes, region), "regions")
+    files = shared.parts(classes.count(), 100_000, least=6)  # of the tables below, whose rows are a few numbers each
+    placed = shared.materialise(regions(classes, region), "regions", files)
     hubs = placed.groupBy("key").agg(F.min("node").alias("hub"))
-    clusters = graph.components(placed.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    clusters = graph.components(placed.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")), files=files)
     members = clusters.join(classes.select("node", "d1", "d2", "row", "n"), "node")
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
     pairs = (
@@ -197,11 +198,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     same = rows["doc_id"].eqNullSafe(pairs["doc_id"]) & (rows["k1"] == pairs["k1"]) & (rows["k2"] == pairs["k2"])
     work = rows.join(pairs, same).select("cluster", "i", "j", "split", "d1", "d2", "text").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = shared.materialise(work.mapInArrow(_link(percent), LINK), "links")
+    links = shared.materialise(work.mapInArrow(_link(percent), LINK), "links", files)
     whole = links.where("not split").select("d1", "d2", F.col("r1").alias("root"))
     if links.where("split").head(1):
         cut = links.where("split")
-        roots = graph.components(cut.select(F.col("d1").alias("a"), F.col("r1").alias("b")))
+        roots = graph.components(cut.select(F.col("d1").alias("a"), F.col("r1").alias("b")), files=files)
         whole = whole.unionByName(cut.select("d1", "d2").distinct().join(roots, F.col("d1") == F.col("node")).select("d1", "d2", "root"))
     linked = whole.join(classes.select("d1", "d2", "least"), ["d1", "d2"])
     least = linked.groupBy("root").agg(F.min("least").alias("component"))

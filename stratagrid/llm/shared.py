@@ -32,10 +32,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: this cuts the lineage and outlives executors."""
+def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: this cuts the lineage and outlives executors.
+
+    files: for tables of few small rows, so that they are not dealt over a file for each of many partitions.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
