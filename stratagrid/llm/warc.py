@@ -204,7 +204,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number = h.get("warc-segment-number")
                 if number:
                     total = h.get("warc-segment-total-length")
-                    row |= {"origin": bare(h.get("warc-segment-origin-id")) or row["record_id"], "segment": int(number), "total": int(total) if total else None, "block": block}
+                    row |= {"origin": bare(h.get("warc-segment-origin-id")) or row["record_id"], "segment": int(number), "total": int(total) if total else None, "block": zlib.compress(block, 1)}
                 elif row["record_type"] == "revisit":
                     sizes = [x.partition(b":")[2] for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:")]
                     row["payload_bytes"] = int(sizes[0]) if sizes else None
@@ -220,7 +220,7 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in b.to_pylist():
             parts = sorted(r["parts"], key=lambda p: p["segment"])
             lead = parts[0]
-            block, total = b"".join(p["block"] for p in parts), next((p["total"] for p in parts if p["total"] is not None), None)
+            block, total = b"".join(zlib.decompress(p["block"]) for p in parts), next((p["total"] for p in parts if p["total"] is not None), None)
             out = {"record_id": r["origin"], "record_type": "response", "refers_id": None, "digest": None, "payload_bytes": None, "problem": None}
             if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
                 out["problem"] = "segments are missing or repeated"
