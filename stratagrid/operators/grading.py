@@ -19,22 +19,23 @@ GRADES = ["A", "B", "C", "D", "F*", "F", "U"]
 
 
 def verdicts(a: Archive, write: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Each criterion's (collection_id, status, note); M too where it is recorded. The grid comes first, since H2 needs it.
+    """Each criterion's (collection_id, status, note); M too where it is recorded. H2 waits for the grid.
 
     write(table, name) stores a table: each criterion is then a job of its own, a few at a time, and what grading reads are
     a dozen small tables. One plan of all of them is planned anew whenever one of its many stages ends.
     """
     kept = write or (lambda df, _: df)
-    grid = kept(grid_verdict(a), "verdict-G")
-    todo = {"H0": c.h0_parse, "H2": lambda x: c.h2_chunks(x, grid), "H3": c.h3_concat, "H4": c.h4_dtypes, "H5": c.h5_codecs, "V": c.v_coverage, "S1": c.s1_cf, "P-sz": c.psz_chunks, "T": c.t_time}
+    todo = {"G": grid_verdict, "H0": c.h0_parse, "H3": c.h3_concat, "H4": c.h4_dtypes, "H5": c.h5_codecs, "V": c.v_coverage, "S1": c.s1_cf, "P-sz": c.psz_chunks, "T": c.t_time}
     if a.locality is not None:
         todo["P-md"] = c.pmd_locality
     if a.materialised is not None:
         todo["M"] = c.m_materialises
-    plans = {n: f(a) for n, f in todo.items()}
-    with ThreadPoolExecutor(4) as pool:
-        done = dict(zip(plans, pool.map(lambda n: kept(plans[n], f"verdict-{n}"), plans), strict=True))
-    return {n: done.get(n, grid) for n in [*CRITERIA, "M"] if n in done or n == "G"}
+    with ThreadPoolExecutor(8) as pool:
+        jobs = {n: pool.submit(kept, f(a), f"verdict-{n}") for n, f in todo.items()}
+        done = {"G": jobs["G"].result()}
+        jobs["H2"] = pool.submit(kept, c.h2_chunks(a, done["G"]), "verdict-H2")
+        done |= {n: job.result() for n, job in jobs.items()}
+    return {n: done[n] for n in [*CRITERIA, "M"] if n in done}
 
 
 def wide(found: dict[str, DataFrame]) -> DataFrame:
