@@ -2,10 +2,9 @@
 
 1. A document's set are its hashed five-word shingles. Equal sets become one class, so groups of copies, however large,
    cost one row from here on.
-2. The forest: a signature of ORDERS * DEPTHS[-1] minima gives ORDERS sorted orders. Classes that share a prefix of an
-   order are its neighbours with the longest common prefix; a region of an order starts at DEPTHS[0] values and goes
-   deeper where more than `region` classes share a prefix. At a similarity of 0.85, two classes have a common prefix of
-   4 values in one of 16 orders but for 7 in a million cases. Regions that share classes form a cluster.
+2. The forest: a signature of ORDERS * DEPTH minima gives ORDERS sorted orders. Classes that share DEPTH values of an order
+   are a region, however many they are, and regions that share classes form a cluster. At a similarity of 0.85, two
+   classes have no region in common in 7 of a million cases.
 3. In a cluster, all links are found exactly: shingles are ordered by how many members have them, and two sets that are
    similar enough must share one of their rarest n - ceil(0.85 n) + 1 shingles; such pairs, if not connected yet, are
    compared on their whole sets. A cluster of more than `block` shingles is cut into blocks, and each pair of blocks is
@@ -26,8 +25,8 @@ from . import graph, shared, text as tx
 
 WORDS = 5
 ORDERS = 16
-DEPTHS = (4, 6, 8)
-MINIMA = tx.constants(ORDERS * DEPTHS[-1], 51)
+DEPTH = 4
+MINIMA = tx.constants(ORDERS * DEPTH, 51)
 SLICE = 4096
 
 
@@ -54,50 +53,40 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weights = [tx.constants(d, 71 + d) for d in DEPTHS]
+    weights = tx.constants(DEPTH, 71 + DEPTH)
     for b in batches:
-        n, d1, d2 = [], [], []
-        prefixes: list[list] = [[] for _ in DEPTHS]
+        n, d1, d2, prefixes = [], [], [], []
         for _, _, buf, off in tx.slices(b.column("text")):
             for s in shingle_sets(buf, off):
                 n.append(len(s))
                 d1.append(tx.mix(s ^ tx.U64(0x1234567)).sum(dtype=tx.U64))
                 d2.append(tx.mix(s + tx.U64(0x89ABCDE)).sum(dtype=tx.U64))
-                values = signature(s).reshape(ORDERS, -1)
-                for held, d, w in zip(prefixes, DEPTHS, weights, strict=True):
-                    held.append(tx.mix((values[:, :d] * w).sum(axis=1, dtype=tx.U64)).view(np.int64))
+                values = signature(s).reshape(ORDERS, DEPTH)
+                prefixes.append(tx.mix((values * weights).sum(axis=1, dtype=tx.U64)).view(np.int64))
         offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * ORDERS)
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(p) if p else np.zeros(0, np.int64))) for p in prefixes]
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
         digests = [pa.array(np.array(x, tx.U64).view(np.int64)) for x in (d1, d2)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(n, pa.int64()), *digests, *lists], ["doc_id", "k1", "k2", "n", "d1", "d2", *(f"p{d}" for d in DEPTHS)])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(n, pa.int64()), *digests, lists], ["doc_id", "k1", "k2", "n", "d1", "d2", "prefixes"])
 
 
-def regions(classes: DataFrame, region: int) -> DataFrame:
-    """(node, region key): each order's prefix of the depth that its region has, of regions with two classes or more."""
-    rows = classes.select("node", F.posexplode(F.arrays_zip(*(f"p{d}" for d in DEPTHS))).alias("t", "p")).select("node", "t", *(F.col(f"p.p{d}").alias(f"p{d}") for d in DEPTHS))
-    place = None
-    for d in DEPTHS:
-        sizes = rows.groupBy("t", f"p{d}").agg(F.count("*").alias("size")).where("size > 1")
-        rows = rows.join(sizes, ["t", f"p{d}"])
-        here = rows if d == DEPTHS[-1] else rows.where(F.col("size") <= region)
-        here = here.select("node", F.xxhash64(F.lit(d), "t", f"p{d}").alias("key"))
-        place = here if place is None else place.unionByName(here)
-        rows = rows.where(F.col("size") > region).drop("size")
-    return place
+def regions(classes: DataFrame) -> DataFrame:
+    """(node, region key): the prefix of each order."""
+    return classes.select("node", F.posexplode("prefixes").alias("t", "p")).select("node", F.xxhash64("t", "p").alias("key"))
 
 
 def link_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the index of its component's first one: sets with 100 * common >= percent * union are linked."""
     n = np.array([len(s) for s in sets], np.int64)
-    root = np.arange(len(sets))
+    label = np.arange(len(sets))
     if len(sets) < 2:
-        return root
+        return label
+    members: dict[int, list[int]] = {}
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def join(a: int, b: int) -> None:
+        if len(members.setdefault(a, [a])) < len(members.setdefault(b, [b])):
+            a, b = b, a
+        label[members[b]] = a
+        members[a] += members.pop(b)
 
     values, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), n)
@@ -116,13 +105,12 @@ def link_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
         mine = mine[count[mine] > 1]
         if not len(mine):
             continue
-        near = np.unique(docs[tx.ragged(edge[mine], edge[mine + 1] - edge[mine])])
+        near = docs[tx.ragged(edge[mine], edge[mine + 1] - edge[mine])]
+        near = np.unique(near[label[near] != label[i]])
         near = near[(n[near] < n[i]) | ((n[near] == n[i]) & (near < i))]
         near = near[100 * n[near] >= percent * n[i]]
         if not len(near):
             continue
-        own = find(i)
-        near = near[np.array([find(j) != own for j in near.tolist()], bool)]
         whole = where[begin[i] : begin[i] + n[i]]
         mark[whole] = True
         while len(near):
@@ -131,10 +119,10 @@ def link_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
             at = tx.ragged(begin[part], n[part])
             common = np.add.reduceat(mark[where[at]].astype(np.int64), np.cumsum(n[part]) - n[part])
             for j in part[100 * common >= percent * (n[i] + n[part] - common)].tolist():
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
+                if label[i] != label[j]:
+                    join(int(label[i]), int(label[j]))
         mark[whole] = False
-    return np.array([find(i) for i in range(len(sets))])
+    return np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
 
 
 LINK = "d1 bigint, d2 bigint, r1 bigint, r2 bigint, split boolean"
@@ -176,17 +164,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents are linked where 100 * |common shingles| >= percent * |union|; a component is what links reach, named by
     its least doc_id. kept: doc_id is that (both null counts as equal). A text without words has n_shingles 0 and no
     links, nor has a null. Repeated rows are copies of one another. A component whose doc_ids are all null has a null
-    component_id; group_key (null without words) names components too, and has no such gap. region: classes that share a prefix before it goes deeper; block: shingles in a task.
+    component_id; group_key (null without words) names components too, and has no such gap. block: shingles in a task. region
+    is of no effect: no region is too large.
     """
     spark = docs.sparkSession
     shared.prepare(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *shared.text_key(F.col(text)))
-    lists = ", ".join(f"p{d} array<bigint>" for d in DEPTHS)
-    signed = shared.materialise(rows.select("doc_id", "k1", "k2", "text").mapInArrow(tx.trimmed(_signed), f"doc_id bigint, k1 bigint, k2 bigint, n bigint, d1 bigint, d2 bigint, {lists}"), "signatures")
-    classes = shared.materialise(signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(f"p{d}").alias(f"p{d}") for d in DEPTHS)).withColumn("node", F.col("d1")), "classes")
+    signed = shared.materialise(rows.select("doc_id", "k1", "k2", "text").mapInArrow(tx.trimmed(_signed), "doc_id bigint, k1 bigint, k2 bigint, n bigint, d1 bigint, d2 bigint, prefixes array<bigint>"), "signatures")
+    classes = shared.materialise(signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefixes").alias("prefixes")).withColumn("node", F.col("d1")), "classes")
     files = shared.parts(classes.count(), 100_000, least=6)  # of the tables below, whose rows are a few numbers each
-    placed = shared.materialise(regions(classes, region), "regions", files)
-    hubs = placed.groupBy("key").agg(F.min("node").alias("hub"))
+    placed = regions(classes)
+    hubs = placed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     clusters = graph.components(placed.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")), files=files)
     members = clusters.join(classes.select("node", "d1", "d2", "row", "n"), "node")
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))

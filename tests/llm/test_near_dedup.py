@@ -57,3 +57,20 @@ def test_components(spark):
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
     nodes = {x for a, b in edges if a != b for x in (a, b)}
     assert got == h.union_find(nodes, [e for e in edges if e[0] != e[1]])
+
+
+def variants(seed, changed, picks):
+    """A page template of 300 shingles, and those variants with one changed passage whose numbers are in picks."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(304)]
+    cuts = [rng.randrange(20, 294 - changed) for _ in range(max(picks) + 1)]
+    return base, [" ".join(base[: cuts[k]] + [f"v{k}x{q}" for q in range(changed)] + base[cuts[k] + changed :]) for k in picks]
+
+
+@pytest.mark.parametrize(("percent", "changed", "picks"), [(85, 17, [318, 831, 2105]), (80, 26, [30, 34, 61])])
+def test_variants_of_a_crowded_template(spark, percent, changed, picks):
+    # 200 distinct texts in a region, and variants at 0.852 (0.802) to each that share four minima with them, but not six or eight
+    base, edge = variants(1, changed, picks)
+    texts = [" ".join([*base[:2], f"slot{k}", *base[3:]]) for k in range(200)] + edge
+    got = op.near_duplicates(h.table(spark, list(enumerate(texts))), percent=percent).collect()
+    assert [r.doc_id for r in got if r.component_id != 0] == [] and len(got) == len(texts)
