@@ -74,3 +74,11 @@ def test_variants_of_a_crowded_template(spark, percent, changed, picks):
     texts = [" ".join([*base[:2], f"slot{k}", *base[3:]]) for k in range(200)] + edge
     got = op.near_duplicates(h.table(spark, list(enumerate(texts))), percent=percent).collect()
     assert [r.doc_id for r in got if r.component_id != 0] == [] and len(got) == len(texts)
+
+
+def test_orders_follow_the_similarity(spark):
+    # 16 orders, enough at 0.85, miss this pair at 0.802
+    base, edge = variants(5, 26, [7004])
+    got = op.near_duplicates(h.table(spark, [(1, " ".join([*base[:2], "slot0", *base[3:]])), (2, edge[0])]), percent=80).collect()
+    assert [r.component_id for r in got] == [1, 1]
+    assert all((1 - (p / 100) ** op.DEPTH) ** op.orders(p) <= op.MISSED for p in (50, 80, 85, 99)) and op.orders(85) == 16 and op.orders(100) == 1
