@@ -3,8 +3,9 @@
 A template's coverage in a text is the share of its words that an alignment matches. The alignment anchors on words
 that occur once in both, takes the longest ascending run of anchors, and goes on inside the gaps between them, where
 further words are unique; equal words at a gap's ends are matched first. Windows of twice the template's length, in
-steps of it, are aligned where they hold enough of its distinct words; the count is made with array operations over
-the whole text, so texts of any length are scanned whole and only likely places are aligned.
+steps of it, are aligned where they hold enough of its words, each counted as often as the template has it, which no
+coverage can exceed; the first count is made with array operations over the whole text, so texts of any length are
+scanned whole and only likely places are aligned.
 """
 
 from __future__ import annotations
@@ -96,6 +97,12 @@ class Scanner:
                 self.templates.append((name, h, np.unique(h)))
         self.vocabulary = np.unique(np.concatenate([u for *_, u in self.templates])) if self.templates else np.zeros(0, tx.U64)
 
+    @staticmethod
+    def bound(part: np.ndarray, words: np.ndarray, distinct: np.ndarray) -> float:
+        """The share of the template's words that part holds in any order: no alignment covers more."""
+        have = np.bincount(np.searchsorted(distinct, part[np.isin(part, distinct)]), minlength=len(distinct))
+        return int(np.minimum(have, np.bincount(np.searchsorted(distinct, words))).sum()) / len(words)
+
     def scan(self, h: np.ndarray) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, end word) of each window of a text that covers enough of a template."""
         found: dict[tuple[str, int, int], float] = {}
@@ -109,9 +116,10 @@ class Scanner:
             mine = at[np.isin(h[at], distinct)]
             step, width = len(words), 2 * len(words)
             windows = np.unique(np.concatenate([mine // step, np.maximum(mine // step - 1, 0)])) * step
-            for w in windows[np.searchsorted(mine, windows + width) - np.searchsorted(mine, windows) >= self.least * len(words)]:
+            held = np.searchsorted(mine, windows + width) - np.searchsorted(mine, windows)
+            for w in windows[held / len(words) >= self.least]:
                 part = h[w : w + width]
-                if len(np.intersect1d(part, distinct)) < self.least * len(distinct):
+                if self.bound(part, words, distinct) < self.least:
                     continue
                 pairs = matches(words.tolist(), part.tolist())
                 coverage = len(pairs) / len(words)
