@@ -3,8 +3,7 @@
 A piece of n tokens costs n + n * n / `knee`: the linear layers and the attention inside the piece. Each task packs
 pools of about POOL tokens of its own rows, so no row is shuffled. In a pool, whole sequences are cut from documents
 that are longer than one; what is left, in descending length, goes to the sequence of least cost so far that has
-room for all of it (PROBES sequences are tried), else the sequence of least cost takes as much as it has room for and
-the rest goes on. There are as many sequences as the pool fills; what remains goes to sequences whose lengths are
+room for all of it, else the sequence of least cost takes as much as it has room for and the rest goes on. There are as many sequences as the pool fills; what remains goes to sequences whose lengths are
 powers of two, so nothing is padded.
 """
 
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from . import encoding, shared, text as tx
 
 POOL = 1 << 21
-PROBES = 8
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint"
 
 
@@ -41,44 +39,55 @@ def pack_lengths(lengths: list[int], capacity: int = 4096, knee: int = 4096) ->
             left.append((-(n % capacity), doc, whole * capacity))
     left.sort()
     total = -sum(x[0] for x in left)
-    heap = [(0.0, len(sizes) + i) for i in range(total // capacity)]
-    used = dict.fromkeys((s for _, s in heap), 0)
-    sizes += [capacity] * len(heap)
+    every = [(0.0, len(sizes) + i) for i in range(total // capacity)]
+    cost, room = {s: 0.0 for _, s in every}, {s: capacity for _, s in every}
+    sizes += [capacity] * len(every)
+    # able: sequences that had room for the last length asked for; short: by room. Lengths descend, so able ones stay so
+    # until they take a piece; entries whose cost or room has changed since are stale.
+    able: list[tuple[float, int]] = []
+    short = [(-capacity, s) for _, s in every]
     rest: list[list[int]] = []
 
-    def put(cost: float, seq: int, doc: int, start: int, n: int) -> None:
-        pieces.append((doc, start, n, seq, used[seq]))
-        used[seq] += n
-        if used[seq] < capacity:
-            heapq.heappush(heap, (cost + n + n * n / knee, seq))
+    def put(seq: int, doc: int, start: int, n: int) -> None:
+        pieces.append((doc, start, n, seq, capacity - room[seq]))
+        room[seq] -= n
+        cost[seq] += n + n * n / knee
+        if room[seq]:
+            heapq.heappush(every, (cost[seq], seq))
+            heapq.heappush(short, (-room[seq], seq))
+
+    def least(heap: list[tuple[float, int]]) -> int | None:
+        while heap:
+            c, seq = heapq.heappop(heap)
+            if c == cost[seq] and room[seq]:
+                return seq
+        return None
 
     for minus, doc, start in left:
         n = -minus
-        tried = []
-        while heap and len(tried) < PROBES and capacity - used[heap[0][1]] < n:
-            tried.append(heapq.heappop(heap))
-        fits = heapq.heappop(heap) if heap and capacity - used[heap[0][1]] >= n else None
-        for x in tried:
-            heapq.heappush(heap, x)
-        if fits:
-            put(*fits, doc, start, n)
+        while short and -short[0][0] >= n:
+            r, seq = heapq.heappop(short)
+            if -r == room[seq]:
+                heapq.heappush(able, (cost[seq], seq))
+        fits = least(able)
+        if fits is not None:
+            put(fits, doc, start, n)
             continue
-        while n and heap:
-            cost, seq = heapq.heappop(heap)
-            part = min(n, capacity - used[seq])
-            put(cost, seq, doc, start, part)
+        while n and (seq := least(every)) is not None:
+            part = min(n, room[seq])
+            put(seq, doc, start, part)
             start, n = start + part, n - part
         if n:
             rest.append([doc, start, n])
     tail = sum(x[2] for x in rest)
     for bit in reversed(range(tail.bit_length())):
         if tail >> bit & 1:
-            room, at = 1 << bit, 0
-            while room:
+            space, at = 1 << bit, 0
+            while space:
                 doc, start, n = rest[0]
-                part = min(n, room)
+                part = min(n, space)
                 pieces.append((doc, start, part, len(sizes), at))
-                at, room = at + part, room - part
+                at, space = at + part, space - part
                 rest[0] = [doc, start + part, n - part]
                 if part == n:
                     rest.pop(0)

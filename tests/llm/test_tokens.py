@@ -2,6 +2,7 @@
 
 import collections
 import io
+import random
 import zlib
 
 import numpy as np
@@ -131,3 +132,26 @@ def test_damage_is_seen():
         store.Reader(Counted(bad)).ids(30)
     with pytest.raises(store.Corrupt):
         store.Reader(Counted(good[:-1]))
+
+
+def dealt(lengths, capacity, knee):
+    """The rule of packing by looking at each sequence: least cost with room for all of it, else cut over the least costs."""
+    cost, room, out = [0.0] * (sum(lengths) // capacity), [capacity] * (sum(lengths) // capacity), []
+    for doc, start, n in [(d, 0, n) for n, d in sorted((n, d) for d, n in enumerate(lengths))][::-1]:
+        while n and any(room):
+            fits = [s for s in range(len(room)) if room[s] >= n] if not start else []
+            s = min(fits or [s for s in range(len(room)) if room[s]], key=lambda s: (cost[s], s))
+            part = min(n, room[s])
+            out.append((doc, start, part, s))
+            cost[s], room[s], start, n = cost[s] + part + part * part / knee, room[s] - part, start + part, n - part
+    return sorted(out)
+
+
+def test_packing_tries_every_sequence():
+    rng = random.Random(8)
+    for _ in range(40):
+        lengths = rng.sample(range(1, 400), 120)  # no two alike, none over a sequence
+        pieces, sizes = packing.pack_lengths(lengths, 400, 100)
+        whole = sum(lengths) // 400
+        assert sorted(x[:4] for x in pieces if x[3] < whole) == dealt(lengths, 400, 100)
+        assert sum(x[2] for x in pieces) == sum(lengths) == sum(sizes)
