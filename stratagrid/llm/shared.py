@@ -19,11 +19,13 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that all machines share: spark.checkpoint.dir; where that is unset, a temporary one if all is one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(found)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -60,6 +62,35 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("key"), text).alias("k2")]
 
 
+#: Rows that a key has in one task, and keys that are dealt over several tasks, at most.
+HOT_ROWS, HOT_KEYS, HOT_WAYS = 1000, 1000, 4096
+
+
+def hot_keys(counted: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(keys, ways) of the HOT_KEYS keys with the most rows, over HOT_ROWS each, from (keys, n); None if there are none.
+
+    At most HOT_KEYS rows, whatever the table: any other key has under a thousandth of all rows.
+    """
+    top = counted.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys, F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(HOT_WAYS)).cast("int").alias("ways"))
+    found = top.collect()
+    return counted.sparkSession.createDataFrame(found, top.schema) if found else None
+
+
+def join_spread(rows: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "left") -> DataFrame:
+    """rows.join(small, keys, how), with rows of a hot key dealt over its ways and small's rows of it repeated for each."""
+    if hot is None:
+        return rows.join(small, keys, how)
+    few = F.broadcast(hot)  # at most HOT_KEYS rows
+    left = rows.join(few, keys, "left").withColumn("_way", F.coalesce(F.floor(F.rand(7) * F.col("ways")).cast("int"), F.lit(0))).drop("ways")
+    right = small.join(few, keys, "left").withColumn("_way", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1))).drop("ways")
+    return left.join(right, [*keys, "_way"], how).drop("_way")
+
+
+def hot_texts(keyed: DataFrame) -> DataFrame | None:
+    """hot_keys of the texts in a table that has their KEY."""
+    return hot_keys(keyed.groupBy(*KEY).agg(F.count("*").alias("n")), KEY)
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(text).cast("long"))).head()[0] or 0)
 

@@ -6,16 +6,18 @@ depth `window` or more. The tree is never held whole:
 
 1. *Routing.* A suffix is routed by the least of the hashed `SEED`-word strings inside its first `window` words.
    Equal windows have the same least seed, and neighbouring suffixes mostly share it, so a run of them travels as one
-   segment of words (about three words of 32 bits for each suffix, not `window`). A seed that more than `group`
-   suffixes share is too large for a task: its suffixes are routed by the longest prefix there is, all `window` words,
-   and such a prefix is itself a node of the wanted depth, so that a count with map-side sums decides it.
+   segment of text (about three words for each suffix, not `window`). A seed that more than `group` suffixes share is
+   too large for a task: its suffixes are routed by the longest prefix there is, all `window` words, as 128 bits, and
+   such a prefix is itself a node of the wanted depth, so that a count with map-side sums decides it.
 2. *Groups.* In a task, suffixes are split by prefixes of `STEP` words, and by longer prefixes where a group is still
    over `SUBTREE` suffixes, so that one subtree at a time is in memory.
 3. *Subtrees.* Each subtree is grown top-down: children are the runs of equal next `STEP` words, leaves (runs of one)
-   go at once. Nodes that reach the depth of `window` are the deep internal nodes; their suffixes are compared word by
-   word and yield the repeated intervals. Overlapping intervals join to maximal repeats of a document.
+   go at once. Nodes that reach the depth of `window` are the deep internal nodes; what they cover is compared byte by
+   byte, and yields the repeated intervals. Nodes are not grown deeper: a maximal repeat of a document is the union of
+   its overlapping intervals.
 
-Equal documents share a key, so at most two copies of a text leave a task's batch of rows.
+Equal documents share a key, so at most two copies of a text leave a task's batch of rows. Words over 64 bytes travel as
+128-bit digests, so the bytes of a task follow from `group`.
 """
 
 from __future__ import annotations
@@ -34,132 +36,166 @@ from . import shared, text as tx
 SEED = 3
 STEP = 5
 SUBTREE = 1 << 20
-FLUSH_WORDS = 6 << 20
-HISTOGRAM = 1 << 16
-ROUTED = "bin int, payload binary, f1 bigint, f2 bigint, k1 bigint, k2 bigint, pos int"
+FLUSH_BYTES = 24 << 20
+#: Entries of a task's tables of seeds and of texts seen, at most.
+TABLE = 1 << 21
+SEEN = 100_000
+SEGMENTS = "bin int, payload binary"
+SUFFIXES = "f1 bigint, f2 bigint, k1 bigint, k2 bigint, pos int"
 INTERVAL = "k1 bigint, k2 bigint, start_word int, end_word int"
 
 
-def _runs(mins: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First index and length of the runs of equal (document, least seed)."""
+def _runs(mins: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of the runs of successive suffixes of equal (document, least seed)."""
     new = np.ones(len(mins), bool)
-    new[1:] = (mins[1:] != mins[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (mins[1:] != mins[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     return first, np.diff(np.append(first, len(mins)))
 
 
 def _suffixes(buf: np.ndarray, off: np.ndarray, window: int):
-    """Word hashes of some rows; word index, row and least seed of each suffix; each row's first word."""
+    """Of some rows: first and end byte of each word; each row's first word; word index, row and least seed of each suffix."""
     starts, ends, ptr = tx.words(buf, off)
-    h = tx.word_hashes(buf, starts, ends)
+    seeds = tx.grams(tx.word_hashes(buf, starts, ends), SEED)
     counts = np.maximum(np.diff(ptr) - window + 1, 0)
     at = tx.ragged(ptr[:-1], counts)
     doc = np.repeat(np.arange(len(counts)), counts)
-    least = tx.sliding_min(tx.grams(h, SEED), window - SEED + 1)
-    return h, at, doc, least[at] if len(at) else tx.grams(h, SEED)[:0], ptr
+    least = tx.sliding_min(seeds, window - SEED + 1)
+    return starts, ends, ptr, at, doc, least[at] if len(at) else seeds[:0]
 
 
-def _bucket(least: np.ndarray, buckets: int) -> np.ndarray:
-    return (tx.mix(least ^ tx.U64(0xA5A5)) % tx.U64(buckets)).astype(np.int64)
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
 
-def _histogram(window: int, buckets: int):
+def _count_seeds(window: int, dropped: int):
+    """(seed, suffixes) of a task's seeds with more than `dropped` suffixes, and (null, all its suffixes)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        held, size, total = [(np.zeros(0, tx.U64), np.zeros(0, np.int64))], 0, 0
+        out = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["seed", "n"])
         for b in batches:
             for _, _, buf, off in tx.slices(b.column("text")):
-                total += np.bincount(_bucket(_suffixes(buf, off, window)[3], buckets), minlength=buckets)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bucket", "n"])
+                *_, at, doc, least = _suffixes(*tx.canonical(buf, off), window)
+                first, n = _runs(least, doc, at)
+                total += len(least)
+                held.append(_summed([(least[first], n)]))
+                size += len(held[-1][0])
+                if size > TABLE:
+                    held = [_summed(held)]
+                    size = len(held[0][0])
+                    if size > TABLE // 2:
+                        yield out(*held[0])
+                        held, size = [(np.zeros(0, tx.U64), np.zeros(0, np.int64))], 0
+        keys, n = _summed(held)
+        yield out(keys[n > dropped], n[n > dropped])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], ["seed", "n"])
 
     return tx.trimmed(run)
 
 
-def _planes(x: np.ndarray) -> list[np.ndarray]:
-    return [(x >> np.uint32(8 * i)).astype(np.uint8) for i in range(4)]
-
-
-def _packed(k1, k2, pos, size, w) -> bytes:
-    """Segments as bytes that compress well: words as ranks by frequency, distinct words as steps, all by significance."""
-    values, where, count = np.unique(w, return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")  # words as frequent as one another ascend
-    rank = np.empty(len(values), np.uint32)
-    rank[order] = np.arange(len(values), dtype=np.uint32)
-    head = np.array([len(k1), len(w), len(values)], np.int64)
-    steps = np.diff(values[order], prepend=np.uint32(0)).astype(np.uint32)
-    return b"".join(x.tobytes() for x in (head, k1, k2, pos.astype(np.uint32), size.astype(np.uint32), *_planes(steps), *_planes(rank[where])))
+def _packed(k1, k2, pos, size, lengths, body: bytes) -> bytes:
+    head = np.array([len(k1)], np.int64)
+    return b"".join([*(x.tobytes() for x in (head, k1, k2, pos.astype(np.uint32), size.astype(np.uint32), lengths.astype(np.uint32))), body])
 
 
 def _unpacked(raw: bytes) -> list[np.ndarray]:
-    n, m, distinct = (int(x) for x in np.frombuffer(raw, np.int64, 3))
-    out, place = [], 24
-    for kind, count in ((np.int64, n), (np.int64, n), (np.uint32, n), (np.uint32, n), *[(np.uint8, distinct)] * 4, *[(np.uint8, m)] * 4):
-        out.append(np.frombuffer(raw, kind, count, place))
-        place += count * np.dtype(kind).itemsize
-    steps, rank = (sum(x.astype(np.uint32) << np.uint32(8 * i) for i, x in enumerate(planes)) for planes in (out[4:8], out[8:]))
-    return [*out[:4], np.cumsum(steps, dtype=np.uint32)[rank]]
+    n, place, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
+    for kind in (np.int64, np.int64, np.uint32, np.uint32, np.uint32):
+        out.append(np.frombuffer(raw, kind, n, place))
+        place += n * np.dtype(kind).itemsize
+    return [*out, np.frombuffer(raw, np.uint8, -1, place)]
+
+
+class _Seen:
+    """Of equal texts two leave a task's batch of rows at most."""
+
+    def __init__(self):
+        self.times: dict[tuple[int, int], int] = {}
+
+    def fresh(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        out = np.ones(len(k1), bool)
+        for i, key in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):
+            n = self.times[key] = self.times.get(key, 0) + 1
+            out[i] = n <= 2
+        if len(self.times) > SEEN:
+            self.times = {}
+        return out
 
 
-def _route(window: int, buckets: int, heavy: np.ndarray, bins: int, deep: bool):
-    """Segments of light seeds packed by bin, or (deep) a row for each suffix of a heavy seed."""
+def _route(window: int, heavy: np.ndarray, bins: int):
+    """Segments of light seeds, packed by bin."""
 
     def pack(held: list) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        cat = [np.concatenate([x[i] for x in held]) for i in range(6)]
-        bin_, k1, k2, pos, size, words = cat
+        bin_, k1, k2, pos, size, lengths = (np.concatenate([x[i] for x in held]) for i in range(6))
+        body = np.concatenate([x[6] for x in held])
         order = np.argsort(bin_, kind="stable")
-        lengths = size + window - 1
         begin = np.cumsum(lengths) - lengths
-        edges = np.searchsorted(bin_[order], np.arange(bins + 1))
+        edges = np.flatnonzero(np.append(True, np.diff(bin_[order]) != 0))
         ids, payloads = [], []
         packer = zstandard.ZstdCompressor(level=1)
-        for b in np.flatnonzero(np.diff(edges)):
-            pick = order[edges[b] : edges[b + 1]]
-            w = words[tx.ragged(begin[pick], lengths[pick])]
-            payloads.append(packer.compress(_packed(k1[pick], k2[pick], pos[pick], size[pick], w)))
-            ids.append(int(b))
-        n = len(ids)
-        none = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(payloads, pa.binary()), none, none, none, none, pa.nulls(n, pa.int32())], ["bin", "payload", "f1", "f2", "k1", "k2", "pos"])
+        for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+            pick = order[a:b]
+            raw = b"".join(body[s : s + n].tobytes() for s, n in zip(begin[pick].tolist(), lengths[pick].tolist(), strict=True))
+            payloads.append(packer.compress(_packed(k1[pick], k2[pick], pos[pick], size[pick], lengths[pick], raw)))
+            ids.append(int(bin_[pick[0]]))
+        for i in range(0, len(ids), 5000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 5000], pa.int32()), pa.array(payloads[i : i + 5000], pa.binary())], ["bin", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, seen = [], 0, {}
+        held, n, seen = [], 0, _Seen()
         for b in batches:
             k1, k2 = (b.column(k).to_numpy() for k in shared.KEY)
-            fresh = np.ones(len(k1), bool)
-            for i, key in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):
-                seen[key] = seen.get(key, 0) + 1
-                fresh[i] = seen[key] <= 2 or deep
+            fresh = seen.fresh(k1, k2)
             for i, j, buf, off in tx.slices(b.column("text")):
-                h, at, doc, least, ptr = _suffixes(buf, off, window)
+                buf, off = tx.canonical(buf, off)
+                starts, ends, ptr, at, doc, least = _suffixes(buf, off, window)
                 keep = fresh[i:j][doc]
-                hot = np.isin(_bucket(least, buckets), heavy) if len(heavy) else np.zeros(len(at), bool)
-                if deep:
-                    at, doc = at[hot], doc[hot]
-                    f1, f2 = (tx.grams(h, window, s)[at].view(np.int64) for s in (31, 32))
-                    for s in range(0, len(at), 100_000):
-                        e = slice(s, s + 100_000)
-                        m = len(at[e])
-                        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(f1[e]), pa.array(f2[e]), pa.array(k1[i:j][doc[e]]), pa.array(k2[i:j][doc[e]]), pa.array((at[e] - ptr[doc[e]]).astype(np.int32))], ["bin", "payload", "f1", "f2", "k1", "k2", "pos"])
-                    continue
-                keep &= ~hot
+                if len(heavy):
+                    keep &= ~np.isin(least, heavy)
                 at, doc, least = at[keep], doc[keep], least[keep]
                 if not len(at):
                     continue
-                first, size = _runs(least, doc)
-                w = (h >> tx.U64(32)).astype(np.uint32)
-                held.append((_bucket(least[first] ^ tx.U64(0x77), bins), k1[i:j][doc[first]], k2[i:j][doc[first]], at[first] - ptr[doc[first]], size, w[tx.ragged(at[first], size + window - 1)]))
-                n += len(held[-1][5])
-                if n >= FLUSH_WORDS:
+                first, size = _runs(least, doc, at)
+                lo, hi = starts[at[first]], ends[at[first] + size + window - 2]
+                place = (tx.mix(least[first] ^ tx.U64(0x77)) % tx.U64(bins)).astype(np.int64)
+                held.append((place, k1[i:j][doc[first]], k2[i:j][doc[first]], at[first] - ptr[doc[first]], size, hi - lo, buf[tx.ragged(lo, hi - lo)]))
+                n += len(held[-1][6])
+                if n >= FLUSH_BYTES:
                     yield from pack(held)
-                    held, n = [], 0
-                    seen = {}
+                    held, n, seen = [], 0, _Seen()
         yield from pack(held)
 
     return tx.trimmed(run)
 
 
+def _deep(window: int, heavy: np.ndarray):
+    """A row for each suffix of a heavy seed: 128 bits of its first `window` words, from two independent word hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for b in batches:
+            k1, k2 = (b.column(k).to_numpy() for k in shared.KEY)
+            fresh = seen.fresh(k1, k2)
+            for i, j, buf, off in tx.slices(b.column("text")):
+                buf, off = tx.canonical(buf, off)
+                starts, ends, ptr, at, doc, least = _suffixes(buf, off, window)
+                pick = np.isin(least, heavy) & fresh[i:j][doc]
+                if not pick.any():
+                    continue
+                at, doc = at[pick], doc[pick]
+                f1, f2 = (tx.grams(tx.word_hashes(buf, starts, ends, f), window, 31 + f)[at].view(np.int64) for f in (0, 1))
+                for s in range(0, len(at), 100_000):
+                    e = slice(s, s + 100_000)
+                    cols = (f1[e], f2[e], k1[i:j][doc[e]], k2[i:j][doc[e]], (at[e] - ptr[doc[e]]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["f1", "f2", "k1", "k2", "pos"])
+
+    return tx.trimmed(run)
+
+
 def deep_nodes(words: np.ndarray, at: np.ndarray, window: int, subtree: int = SUBTREE) -> np.ndarray:
     """Which of the suffixes that begin at words[at] share their first `window` words with another one.
 
@@ -223,25 +259,56 @@ def _grow(label, words, at, who, depths, level, window):
     return who[good]
 
 
+def same_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, labels: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The labels, among words `which`, that words of different bytes share."""
+    _, first, where = np.unique(labels[which], return_index=True, return_inverse=True)
+    lead, n = which[first][where], ends[which] - starts[which]
+    differ = n != ends[lead] - starts[lead]
+    others = np.flatnonzero((lead != which) & ~differ)
+    for i in range(0, len(others), 1 << 17):
+        pick = others[i : i + (1 << 17)]
+        size = n[pick]
+        unlike = buf[tx.ragged(starts[which[pick]], size)] != buf[tx.ragged(starts[lead[pick]], size)]
+        differ[pick] = np.logical_or.reduceat(unlike, np.cumsum(size) - size)
+    return np.unique(labels[which[differ]])
+
+
+def repeats(buf: np.ndarray, off: np.ndarray, window: int, subtree: int = SUBTREE) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place in it) of each suffix of the segments that shares its first `window` words with another one.
+
+    Nodes are grown over 64-bit labels of words. Then the words that the nodes cover are compared byte by byte with the
+    first word of their label; where a label stands for several words, those get labels of their own, and the nodes are
+    grown anew.
+    """
+    starts, ends, ptr = tx.words(buf, off)
+    labels = tx.word_hashes(buf, starts, ends)
+    size = np.diff(ptr) - window + 1
+    at, seg = tx.ragged(ptr[:-1], size), np.repeat(np.arange(len(size)), size)
+    while True:
+        hit = np.flatnonzero(deep_nodes(labels, at, window, subtree))
+        cover = np.zeros(len(labels) + 1, np.int64)
+        np.add.at(cover, at[hit], 1)
+        np.add.at(cover, at[hit] + window, -1)
+        odd = same_words(buf, starts, ends, labels, np.flatnonzero(np.cumsum(cover[:-1]) > 0))
+        if not len(odd):
+            return seg[hit], at[hit] - ptr[seg[hit]]
+        for i in np.flatnonzero(np.isin(labels, odd)).tolist():
+            labels[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+
+
 def _subtrees(window: int, subtree: int):
     def run(t: pa.Table) -> pa.Table:
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
         unpacker = zstandard.ZstdDecompressor()
-        for chunk in t.column("payload").chunks:
-            for value in chunk:
-                for c, x in zip(cols, _unpacked(unpacker.decompress(value.as_buffer())), strict=True):
-                    c.append(x)
-        k1, k2, pos, size, words = (np.concatenate(c) for c in cols)
-        size = size.astype(np.int64)
-        begin = np.cumsum(size + window - 1) - (size + window - 1)
-        at, seg = tx.ragged(begin, size), np.repeat(np.arange(len(size)), size)
-        hit = np.flatnonzero(deep_nodes(words, at, window, subtree))
-        seg, place = seg[hit], (pos.astype(np.int64)[seg[hit]] + at[hit] - begin[seg[hit]])
+        parts = [_unpacked(unpacker.decompress(value.as_buffer())) for chunk in t.column("payload").chunks for value in chunk]
+        k1, k2, pos, _, lengths, buf = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        seg, place = repeats(buf, np.append(0, np.cumsum(lengths.astype(np.int64))), window, subtree)
+        place = place + pos.astype(np.int64)[seg]
         # successive hits of a segment make one interval
-        new = np.ones(len(hit), bool)
+        new = np.ones(len(seg), bool)
         new[1:] = (seg[1:] != seg[:-1]) | (place[1:] != place[:-1] + 1)
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(hit))[: len(first)] - 1
+        last = np.append(first[1:], len(seg))[: len(first)] - 1
         return pa.table({"k1": k1[seg[first]], "k2": k2[seg[first]], "start_word": place[first].astype(np.int32), "end_word": (place[last] + window).astype(np.int32)})
 
     def tidy(t: pa.Table) -> pa.Table:
@@ -252,30 +319,30 @@ def _subtrees(window: int, subtree: int):
     return tidy
 
 
-def repeated_intervals(docs: DataFrame, text: str = "text", window: int = 35, group: int = 2_000_000, subtree: int = SUBTREE) -> DataFrame:
+def repeated_intervals(docs: DataFrame, text: str = "text", window: int = 35, group: int = 1_000_000, subtree: int = SUBTREE) -> DataFrame:
     """Intervals of words, [start_word, end_word), that windows occurring twice or more cover, by key of text.
 
-    Distinct rows (k1, k2, start_word, end_word); intervals of one text can overlap. Null and short texts have none.
-    group: suffixes that a task gets at most under one seed; subtree: suffixes in memory as one subtree.
+    Rows (k1, k2, start_word, end_word), some of them repeated; intervals of one text can overlap. Null and short texts
+    have none. group: suffixes that a task gets at most under one seed; subtree: suffixes in memory as one subtree.
     """
     if window < SEED:
         raise ValueError(f"a window has {SEED} words at least")
     spark = docs.sparkSession
     shared.prepare(spark)
     rows = docs.select(F.col(text).alias("text"), *shared.text_key(F.col(text))).where(F.octet_length("text") >= 2 * window - 1)
-    buckets = HISTOGRAM
-    while buckets * group < 64 * (shared.text_bytes(docs, text) // 2) and buckets < 1 << 24:
-        buckets *= 2
-    counts = rows.select("text").mapInArrow(_histogram(window, buckets), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    total, heavy = counts.agg(F.sum("n"), F.collect_list(F.when(F.col("n") > group, F.col("bucket")))).head()
-    heavy = np.array(sorted(heavy), np.int64)  # at most total / group entries
-    bins = shared.parts(total or 0, group)
-    light = rows.mapInArrow(_route(window, buckets, heavy, bins, False), ROUTED).select("bin", "payload")
+    # what all tasks drop of a seed is half a group at most, so each seed over `group` is among those counted over half of it
+    dropped = group // (2 * max(1, rows.rdd.getNumPartitions()))
+    counts = rows.select("text").mapInArrow(_count_seeds(window, dropped), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
+    found = counts.where((F.col("n") > group // 2) | F.col("seed").isNull()).collect()  # 2 * total / group + 1 rows at most
+    total = sum(r.n for r in found if r.seed is None)
+    heavy = np.sort(np.array([r.seed for r in found if r.seed is not None], np.int64).view(tx.U64))
+    light = rows.mapInArrow(_route(window, heavy, shared.parts(total, group)), SEGMENTS)
     found = light.groupBy("bin").applyInArrow(_subtrees(window, subtree), INTERVAL)
     if len(heavy):
-        deep = rows.mapInArrow(_route(window, buckets, heavy, bins, True), ROUTED).select("f1", "f2", "k1", "k2", "pos")
-        nodes = deep.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").select("f1", "f2")
-        found = found.unionByName(deep.join(nodes, ["f1", "f2"], "left_semi").select("k1", "k2", F.col("pos").alias("start_word"), (F.col("pos") + window).alias("end_word")))
+        deep = rows.mapInArrow(_deep(window, heavy), SUFFIXES)
+        nodes = shared.materialise(deep.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
+        hits = shared.join_spread(deep, nodes.select("f1", "f2"), ["f1", "f2"], shared.hot_keys(nodes, ["f1", "f2"]), "left_semi")
+        found = found.unionByName(hits.select("k1", "k2", F.col("pos").alias("start_word"), (F.col("pos") + window).alias("end_word")))
     return found
 
 
@@ -317,6 +384,6 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, carry
     carry = ["doc_id"] if carry is None else carry
     found = repeated_intervals(docs, text, window, **limits).groupBy("k1", "k2").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     rows = docs.select(F.struct(*carry).alias("carry"), F.col(text).alias("text"), *shared.text_key(F.col(text)))
-    joined = rows.join(found, shared.KEY, "left").select("carry", "text", "spans")
+    joined = shared.join_spread(rows, found, shared.KEY, shared.hot_texts(rows.select(*shared.KEY))).select("carry", "text", "spans")
     kind = joined.schema["carry"].dataType.simpleString()
     return joined.mapInArrow(_cut(want_text), f"carry {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string").select("carry.*", "n_words", "n_removed", "kept_sha256", "kept_text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,10 +33,11 @@ def constants(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
 
 
-BYTES = constants(256, 11)
-BASE = int(constants(1, 12)[0])
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Byte values, base and its inverse of the two independent word hashes.
+FAMILIES = [(constants(256, s), int(constants(1, s + 1)[0]), pow(int(constants(1, s + 1)[0]), -1, 1 << 64)) for s in (11, 13)]
 CHUNK = 1 << 20
+#: A word of more bytes travels as its digest.
+LONG = 64
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -91,8 +93,33 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
+def canonical(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same words in each row, each followed by one space at most; those over LONG bytes are 128-bit digests.
+
+    A digest begins with the byte FF, which no UTF-8 text has, so that it equals no other word.
+    """
+    black = ~SPACE[buf]
+    keep = black.copy()
+    keep[1:] |= black[:-1]
+    sums = np.append(0, np.cumsum(keep))
+    buf, off = np.where(black, buf, np.uint8(32))[keep], sums[off]
+    starts, ends, ptr = words(buf, off)
+    long = np.flatnonzero(ends - starts > LONG)
+    if not len(long):
+        return buf, off
+    raw, parts, at, moved = buf.tobytes(), [], 0, np.zeros(len(off), np.int64)
+    for i in long.tolist():
+        s, e = int(starts[i]), int(ends[i])
+        parts += [raw[at:s], b"\xff" + hashlib.blake2b(raw[s:e], digest_size=16).hexdigest().encode()]
+        at = e
+    saved = np.cumsum(ends[long] - starts[long] - 33)
+    moved = np.append(0, saved)[np.searchsorted(ends[long], off, side="right")]
+    return np.frombuffer(b"".join([*parts, raw[at:]]), np.uint8), off - moved
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; the families are independent of each other."""
+    values, base, inverse = FAMILIES[family]
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
@@ -100,8 +127,8 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         lo, hi = starts[i], ends[j - 1]
         n = int(hi - lo)
         sums = np.zeros(n + 1, U64)
-        np.cumsum(BYTES[buf[lo:hi]] * powers(BASE, n), out=sums[1:])
-        out[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * powers(INVERSE, n)[starts[i:j] - lo]
+        np.cumsum(values[buf[lo:hi]] * powers(base, n), out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * powers(inverse, n)[starts[i:j] - lo]
         i = j
     return mix(out + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 
