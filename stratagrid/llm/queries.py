@@ -58,8 +58,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = warc.write(table(spark, sf_dir, "pages"), shared.new_folder(spark, "warc"))
-    out = warc.read(spark, files)
+    out = warc.read(spark, warc.write(table(spark, sf_dir, "pages"), shared.new_folder(spark, "warc")))
     return out.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", warc.page_of("refers_id").alias("refers_to"))
 
 

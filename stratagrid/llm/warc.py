@@ -4,17 +4,20 @@ Writing. Of pages with equal payloads the one with the largest id is a response
 that refer to it. Payloads are grouped by digest with map-side sums, so one copy of a payload leaves a task. A response
 block is HTTP with chunked framing; a block over `segment` bytes is cut: the first record has segment number 1, the
 rest are continuation records, in files of their own, that name it as their origin, and the last has the total length.
-Each record is a gzip member; files are rolled at ROLL bytes.
+Each record is a gzip member; files are rolled at ROLL bytes. The names of the files that ended well are a table beside
+them, so what a lost attempt leaves is not read.
 
-Reading. Files are parsed where they are read; whole records are digested at once. Segments are grouped by origin
-identifier, ordered by number, and must be 1 .. n with the stated total length; then the HTTP block is split and the
-chunked framing decoded. What fails is a row with a problem, not an exception.
+Reading. Files are streamed and parsed on executors; a member can hold several records, and plain files do too. Whole
+records are digested at once. Segments are grouped by origin identifier, ordered by number, and must be 1 .. n with the
+stated total length; then the HTTP block is split and the chunked framing decoded. What fails is a row with a problem,
+not an exception; after damage the reader goes on at the next member or record that it finds.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,6 +31,10 @@ from pyspark.sql import functions as F
 from . import shared
 
 ROLL = 8 << 20
+#: Bytes read at once, bytes of archives for a task, and of a record's header at most.
+PIECE, TASK_BYTES, HEAD = 1 << 14, 16 << 20, 1 << 20
+MEMBER = b"\x1f\x8b\x08"
+FILES = "path string, bytes bigint"
 CHUNK = 4096
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARSED = "record_id string, record_type string, refers_id string, digest string, payload_bytes bigint, origin string, segment int, total bigint, block binary, problem string"
@@ -53,7 +60,10 @@ def unchunked(body: bytes) -> bytes:
         end = body.find(b"\r\n", at)
         if end < 0:
             raise ValueError("a chunk has no size line")
-        size = int(body[at:end].split(b";")[0].strip() or b"x", 16)
+        digits = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", digits):
+            raise ValueError("a chunk's size is no hexadecimal number")
+        size = int(digits, 16)
         at = end + 2
         if not size:
             return b"".join(out)
@@ -93,7 +103,7 @@ class _Roller:
     def __init__(self, folder: str, name: str):
         self.store, self.base = pafs.FileSystem.from_uri(folder)
         self.store.create_dir(self.base, recursive=True)
-        self.folder, self.name, self.stream, self.n, self.files = folder, name, None, 0, []
+        self.folder, self.name, self.stream, self.n, self.files, self.sizes = folder, name, None, 0, [], []
 
     def write(self, raw: bytes) -> None:
         if self.stream is None or self.n >= ROLL:
@@ -109,6 +119,8 @@ class _Roller:
     def close(self) -> None:
         if self.stream is not None:
             self.stream.close()
+            self.sizes.append(self.n)
+            self.stream = None
 
 
 def _write(folder: str, segment: int):
@@ -127,14 +139,13 @@ def _write(folder: str, segment: int):
                         more.write(x)
         main.close()
         more.close()
-        files = main.files + more.files
-        yield pa.RecordBatch.from_pydict({"path": pa.array(files, pa.string())})
+        yield pa.RecordBatch.from_pydict({"path": pa.array(main.files + more.files, pa.string()), "bytes": pa.array(main.sizes + more.sizes, pa.int64())})
 
     return run
 
 
-def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, segment: int = 16384) -> list[str]:
-    """Write a record for each row of pages; returns the files' paths.
+def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, segment: int = 16384) -> str:
+    """Write a record for each row of pages under folder, and the table of its files; returns folder.
 
     A null html is an empty payload, a null url an empty one. Payloads under `least` bytes are all responses. Of repeated
     rows one is the response. Record ids are urn:page:<page id>:<digest>:<copy>, so they are unique even if page ids are
@@ -152,25 +163,153 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     tops = large.groupBy("h").agg(F.max(F.struct("page_id", "url")).alias("top"))
     is_top = F.col("top.page_id").eqNullSafe(F.col("page_id")) & (F.col("top.url") == F.col("url"))
     # urls that share (page id, digest) number on, so that copies' names differ
-    copies = same.join(tops, "h").withColumn("from", F.when(is_top, 1).otherwise(0)).where("from < c").select("h", "page_id", "url", "n", "top", F.explode(F.sequence(F.col("from"), F.col("c") - 1)).alias("copy"))
+    hot = shared.hot_keys(same.groupBy("h").agg(F.count("*").alias("n")), ["h"])
+    copies = shared.join_spread(same, tops, ["h"], hot, "inner").withColumn("from", F.when(is_top, 1).otherwise(0)).where("from < c").select("h", "page_id", "url", "n", "top", F.explode(F.sequence(F.col("from"), F.col("c") - 1)).alias("copy"))
     tag = F.when(F.col("top.page_id").eqNullSafe(F.col("page_id")) & (F.col("top.url") == F.col("url")), F.col("copy").cast("string")).otherwise(F.concat_ws("-", F.hex(F.xxhash64("url")), F.col("copy").cast("string")))
     again = copies.select(name(F.col("page_id"), F.col("h"), tag).alias("id"), "url", name(F.col("top.page_id"), F.col("h"), F.lit(0)).alias("refers"), "h", "n", F.lit(None).cast("string").alias("payload"))
     alone = small.select(name(F.col("page_id"), F.col("h"), F.concat(F.lit("s"), F.monotonically_increasing_id())).alias("id"), "url", F.lit("").alias("refers"), "h", "n", "payload")
     out = main.unionByName(again) if least <= 0 else main.unionByName(again).unionByName(alone)
-    return sorted(r.path for r in out.mapInArrow(_write(folder, segment), "path string").collect())
-
-
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record; each is a gzip member."""
-    while content:
-        opener = zlib.decompressobj(31)
-        raw = opener.decompress(content)
-        content = opener.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        first, *lines = head.decode("utf-8", "replace").split("\r\n")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        headers["version"] = first
-        yield headers, rest[: int(headers.get("content-length", "0"))]
+    out.mapInArrow(_write(folder, segment), FILES).write.parquet(f"{folder}/files")
+    return folder
+
+
+class Damaged(ValueError):
+    """What is compressed breaks off here."""
+
+
+class Malformed(ValueError):
+    """No record can be read here."""
+
+
+def inflate(stream) -> Iterator[bytes | Damaged]:
+    """Decompressed pieces of successive members, or those of a plain file; Damaged in place of the rest of a bad member."""
+    held = stream.read(PIECE)
+    if held[:2] != MEMBER[:2]:
+        while held:
+            yield held
+            held = stream.read(PIECE)
+        return
+    while held or (held := stream.read(PIECE)):
+        opener, began = zlib.decompressobj(31), False
+        try:
+            while not opener.eof:
+                if not held and not (held := stream.read(PIECE)):
+                    raise zlib.error("the file ends inside a member")
+                piece = opener.decompress(held)
+                held, began = opener.unused_data if opener.eof else b"", True
+                if piece:
+                    yield piece
+        except zlib.error as e:
+            yield Damaged(f"a member is damaged: {e}")
+            held = held[0 if began else 1 :]  # the next member begins where its signature is found
+            while (at := held.find(MEMBER)) < 0:
+                more = stream.read(PIECE)
+                if not more:
+                    return
+                held = held[-2:] + more
+            held = held[at:]
+
+
+class _Source:
+    def __init__(self, pieces: Iterator[bytes | Damaged]):
+        self.pieces, self.held, self.at = pieces, bytearray(), 0
+        self.damage: Damaged | None = None
+
+    def fill(self) -> bool:
+        """Hold another piece; not beyond damage, before it is passed."""
+        piece = None if self.damage else next(self.pieces, None)
+        if isinstance(piece, Damaged):
+            self.damage = piece
+            return False
+        if self.at > 1 << 16:
+            del self.held[: self.at]
+            self.at = 0
+        self.held += piece or b""
+        return piece is not None
+
+    def passed(self) -> Damaged | None:
+        """Go on behind the damage that ended what is held."""
+        self.held, self.at, found, self.damage = bytearray(), 0, self.damage, None
+        return found
+
+    def more(self) -> bool:
+        """Pass over line ends between records; whether anything follows."""
+        while True:
+            while self.at < len(self.held) and self.held[self.at] in b"\r\n":
+                self.at += 1
+            if self.at < len(self.held):
+                return True
+            if not self.fill():
+                return False
+
+    def head(self) -> bytes:
+        """The header that begins here, without its end; the place stays."""
+        seen = 0
+        while (end := self.held.find(b"\r\n\r\n", self.at + max(0, seen - 3))) < 0:
+            seen = len(self.held) - self.at
+            if seen > HEAD or not self.fill():
+                raise Malformed("a record's header has no end")
+        return bytes(self.held[self.at : end])
+
+    def ahead(self, n: int) -> int:
+        """How many of the next n bytes there are; the place stays."""
+        while len(self.held) - self.at < n:
+            if not self.fill():
+                break
+        return min(n, len(self.held) - self.at)
+
+    def record(self, head: int, length: int) -> bytes:
+        """The block behind a header of `head` bytes; line ends or another record must follow it."""
+        whole = head + length
+        if self.ahead(whole) < whole:
+            raise Malformed("a record is shorter than its length")
+        self.ahead(whole + 5)
+        gap = bytes(self.held[self.at + whole : self.at + whole + 5])
+        if gap and gap[:4] not in b"\r\n\r\n" and gap != b"WARC/":
+            raise Malformed("a record's length is not where it ends")
+        out = bytes(self.held[self.at + head : self.at + whole])
+        self.at += whole
+        return out
+
+    def seek(self, mark: bytes) -> bool:
+        """Go on to the next mark behind this place."""
+        self.at += 1
+        while (found := self.held.find(mark, self.at)) < 0:
+            self.at = max(self.at, len(self.held) - len(mark) + 1)
+            if not self.fill():
+                return False
+        self.at = found
+        return True
+
+
+def parse(stream) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(headers, block, problem) of each record in a file; a problem has the headers that could be read, or none."""
+    source = _Source(inflate(stream))
+    lost = False
+    while True:
+        headers: dict[str, str] = {}
+        try:
+            found = source.seek(b"WARC/1.") if lost else source.more()
+            lost = False
+            if not found:
+                if not (damage := source.passed()):
+                    return
+                raise damage
+            head = source.head()
+            first, *lines = head.decode("utf-8", "replace").split("\r\n")
+            if not first.startswith("WARC/"):
+                raise Malformed("no record begins here")
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            length = headers.get("content-length", "")
+            if not re.fullmatch("[0-9]{1,18}", length):
+                raise Malformed("a record's length is no number")
+            yield headers, source.record(len(head) + 4, int(length)), None
+        except Damaged as e:
+            yield headers, b"", str(e)
+        except Malformed as e:
+            damage = source.damage and source.passed()
+            yield headers, b"", str(damage or e)
+            lost = not damage
 
 
 def payload(block: bytes) -> bytes:
@@ -178,7 +317,12 @@ def payload(block: bytes) -> bytes:
     head, gap, body = block.partition(b"\r\n\r\n")
     if not gap:
         raise ValueError("no end of the HTTP header")
-    return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    if re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", head):
+        return unchunked(body)
+    stated = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", head)
+    if stated and int(stated[1]) != len(body):
+        raise ValueError("the body differs from its length")
+    return body
 
 
 def settle(block: bytes, claimed: str | None) -> tuple[str | None, int | None, str | None]:
@@ -191,27 +335,48 @@ def settle(block: bytes, claimed: str | None) -> tuple[str | None, int | None, s
     return digest, len(found), None if not claimed or claimed == digest else "the payload differs from its digest"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fields(h: dict[str, str], block: bytes, problem: str | None) -> dict:
+    """A row of PARSED."""
     bare = lambda x: x.strip("<>") if x else None
-    names = [x.split()[0] for x in PARSED.split(", ")]
+    claimed = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    row = dict.fromkeys(PARSED_NAMES) | {"record_id": bare(h.get("warc-record-id")), "record_type": h.get("warc-type"), "refers_id": bare(h.get("warc-refers-to")), "digest": claimed, "problem": problem}
+    number, total = h.get("warc-segment-number"), h.get("warc-segment-total-length")
+    if problem:
+        row["digest"] = None
+    elif any(x and not re.fullmatch("[0-9]{1,9}", x) for x in (number, total)):
+        row |= {"digest": None, "problem": "a segment's number or total length is no number"}
+    elif number and not (h.get("warc-segment-origin-id") or row["record_id"]):
+        row |= {"digest": None, "problem": "a segment names no origin"}
+    elif number:
+        row |= {"origin": bare(h.get("warc-segment-origin-id")) or row["record_id"], "segment": int(number), "total": int(total) if total else None, "block": zlib.compress(block, 1)}
+    elif row["record_type"] == "revisit":
+        stated = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", block)
+        row["payload_bytes"] = int(stated[1]) if stated else None
+    elif row["record_type"] == "response":
+        row["digest"], row["payload_bytes"], row["problem"] = settle(block, claimed)
+    else:
+        row["digest"], row["payload_bytes"] = base32_sha1(block), len(block)
+    return row
+
+
+PARSED_NAMES = [x.split()[0] for x in PARSED.split(", ")]
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"payload_bytes": pa.int64(), "total": pa.int64(), "segment": pa.int32(), "block": pa.binary()}
+    out = lambda rows: pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], kinds.get(k, pa.string())) for k in PARSED_NAMES})
     for b in batches:
-        for content in b.column("content"):
-            rows = []
-            for h, block in parse(content.as_py()):
-                claimed = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                row = dict.fromkeys(names) | {"record_id": bare(h.get("warc-record-id")), "record_type": h.get("warc-type"), "refers_id": bare(h.get("warc-refers-to")), "digest": claimed}
-                number = h.get("warc-segment-number")
-                if number:
-                    total = h.get("warc-segment-total-length")
-                    row |= {"origin": bare(h.get("warc-segment-origin-id")) or row["record_id"], "segment": int(number), "total": int(total) if total else None, "block": zlib.compress(block, 1)}
-                elif row["record_type"] == "revisit":
-                    sizes = [x.partition(b":")[2] for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                    row["payload_bytes"] = int(sizes[0]) if sizes else None
-                else:
-                    row["digest"], row["payload_bytes"], row["problem"] = settle(block, claimed)
-                rows.append(row)
-            yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], kinds.get(k, pa.string())) for k in names})
+        for path in b.column("path").to_pylist():
+            store, name = pafs.FileSystem.from_uri(path)
+            rows, held = [], 0
+            with store.open_input_stream(name, compression=None, buffer_size=1 << 20) as stream:
+                for record_ in parse(stream):
+                    rows.append(_fields(*record_))
+                    held += 500 + len(rows[-1]["block"] or b"")
+                    if held > 8 << 20:
+                        yield out(rows)
+                        rows, held = [], 0
+            yield out(rows)
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,13 +397,23 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], pa.int64() if k == "payload_bytes" else pa.string()) for k in (x.split()[0] for x in RECORD.split(", "))})
 
 
-def read(spark: SparkSession, files: list[str]) -> DataFrame:
-    """A row for each record in the files, segments joined: record_id, record_type (response or revisit), refers_id,
-    digest (base32 SHA-1 of the whole payload), payload_bytes, problem (null where all is well)."""
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """records() of the archives that write() made in folder."""
+    return records(spark.read.schema(FILES).parquet(f"{folder}/files"))
+
+
+def records(files: DataFrame) -> DataFrame:
+    """A row for each record in the files (path, bytes), segments joined: record_id, record_type, refers_id, digest
+    (base32 SHA-1 of the whole payload), payload_bytes, problem (null where all is well).
+
+    Files are gzip members or plain text, of any size. A response's payload is its HTTP body; a revisit's digest and size
+    are as stated; other types' payload is their block. What is damaged, cut short or malformed is a row with a problem and
+    the fields that could be read, and no other record is lost by it than those that share its member.
+    """
+    spark = files.sparkSession
     shared.prepare(spark)
-    if not files:
-        return spark.createDataFrame([], RECORD)
-    parsed = shared.materialise(spark.read.format("binaryFile").load(files).select("content").mapInArrow(_parse, PARSED), "records")
+    tasks = shared.parts(files.agg(F.sum("bytes")).head()[0] or 0, TASK_BYTES)
+    parsed = shared.materialise(files.select("path").repartition(tasks).mapInArrow(_parse, PARSED), "records")
     names = [x.split()[0] for x in RECORD.split(", ")]
     parts = parsed.where("origin IS NOT NULL").groupBy("origin").agg(F.collect_list(F.struct("segment", "total", "block", "digest")).alias("parts"))
     return parsed.where("origin IS NULL").select(*names).unionByName(parts.mapInArrow(_join, RECORD))
