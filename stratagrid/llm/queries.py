@@ -84,6 +84,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
+#: SQL for: of n labels, g good, against the pn and pg of all, more than 1.96 deviations and half a label.
+CHANCE = "2 * abs(g * pn - n * pg) - pn > 0 AND pow(CAST(2 * abs(g * pn - n * pg) - pn AS DOUBLE), 2) * pn > 4 * 1.96::DOUBLE * 1.96::DOUBLE * n::DOUBLE * pg * (pn - pg) * (pn - n)"
+
+
+def _levels() -> str:
+    """SQL of op5's tree, level by level: s0 to s6 are (host, path, n, g, s, parent, t)."""
+    return ",".join(
+        f"""
+c{d} AS MATERIALIZED (SELECT host, t, s[{d}] AS child, count(*) AS paths, CAST(sum(n) AS BIGINT) AS n, CAST(sum(g) AS BIGINT) AS g FROM s{d - 1} WHERE len(s) >= {d} GROUP BY ALL),
+r{d} AS (SELECT * FROM (SELECT *, sum(paths) OVER (PARTITION BY host, t) AS total FROM c{d}) WHERE 8 * paths < total),
+v{d} AS (SELECT *, count(*) OVER w AS c, CAST(sum(n) OVER w AS BIGINT) AS pn, CAST(sum(g) OVER w AS BIGINT) AS pg FROM r{d} WINDOW w AS (PARTITION BY host, t)),
+w{d} AS (SELECT host, t, child, '{{*}}' AS star FROM v{d} WHERE c >= 8 AND NOT ({CHANCE})),
+s{d} AS MATERIALIZED (SELECT x.host, path, n, g, s, CASE WHEN len(s) >= {d} THEN x.t ELSE parent END AS parent,
+       CASE WHEN len(s) < {d} THEN x.t ELSE concat(x.t, '{"" if d == 1 else "/"}', coalesce(star, s[{d}])) END AS t
+       FROM s{d - 1} x LEFT JOIN w{d} ON x.host = w{d}.host AND x.t = w{d}.t AND x.s[{d}] = w{d}.child)"""
+        for d in range(1, 7)
+    )
+
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{BLANK}') AS w FROM documents),
@@ -132,24 +151,21 @@ r AS (SELECT *, CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com
                      WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
                      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
                      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
-u AS (SELECT host, path, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '{{n}}', 'g')) AS s FROM (SELECT DISTINCT host, path FROM p)),
-node AS (SELECT host, path, d, s[d] AS child, array_to_string(s[1:d - 1], '/') AS node FROM (SELECT host, path, s, unnest(range(1, len(s) + 1)) AS d FROM u)),
-wide AS (SELECT host, node FROM (SELECT host, node, child, count(*) AS n FROM node GROUP BY ALL) GROUP BY host, node HAVING count(*) >= 8 AND sum(n) < 3 * count(*)),
-part AS (SELECT node.host, path, d, CASE WHEN wide.node IS NULL THEN child ELSE '{{*}}' END AS x FROM node LEFT JOIN wide ON node.host = wide.host AND node.node = wide.node),
-leaf AS (SELECT host, path, coalesce(string_agg(x, '/' ORDER BY d) FILTER (d < len(s)), '') AS parent, coalesce(string_agg(x, '/' ORDER BY d), '') AS template
-         FROM u LEFT JOIN part USING (host, path) GROUP BY host, path, s),
 lab AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels GROUP BY doc_id),
-t AS (SELECT host, parent, template, count(good) AS n, coalesce(sum(good), 0) AS g FROM r JOIN leaf USING (host, path) LEFT JOIN lab ON doc_id = page_id GROUP BY ALL),
-pool AS (SELECT host, parent, sum(n) AS pn, sum(g) AS pg FROM t GROUP BY ALL),
+u AS (SELECT host, path, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '{{n}}', 'g')) AS s,
+             CAST(count(good) AS BIGINT) AS n, CAST(coalesce(sum(good), 0) AS BIGINT) AS g FROM p LEFT JOIN lab ON doc_id = page_id GROUP BY host, path),
+s0 AS (SELECT host, path, n, g, CASE WHEN len(s) <= 6 THEN s ELSE list_append(s[1:5], array_to_string(s[6:], '/')) END AS s, '' AS parent, '' AS t FROM u),
+{_levels()},
+t AS (SELECT host, parent, t AS template, CAST(sum(n) AS BIGINT) AS n, CAST(sum(g) AS BIGINT) AS g FROM s6 GROUP BY ALL),
+pool AS (SELECT host, parent, CAST(sum(n) AS BIGINT) AS pn, CAST(sum(g) AS BIGINT) AS pg FROM t GROUP BY ALL),
 h AS (SELECT host, (sum(g) + 10.0::DOUBLE * coalesce((SELECT sum(g)::DOUBLE / sum(n) FROM t WHERE n > 0), 1.0)) / (sum(n) + 10.0::DOUBLE) AS hp FROM t GROUP BY host),
-a AS (SELECT t.*, CASE WHEN n = 0 THEN true ELSE abs(g::DOUBLE / n - pg::DOUBLE / pn) <= 1.96::DOUBLE * sqrt(pg::DOUBLE / pn * (1 - pg::DOUBLE / pn) / n) END AS merged
-      FROM t JOIN pool USING (host, parent)),
+a AS (SELECT t.*, NOT ({CHANCE}) AS merged FROM t JOIN pool USING (host, parent)),
 j AS (SELECT host, parent, sum(n) AS mn, sum(g) AS mg FROM a WHERE merged GROUP BY ALL),
-q AS (SELECT a.host, a.template, CASE WHEN merged AND mn = 0 THEN NULL WHEN merged THEN (mg + 10.0::DOUBLE * hp) / (mn + 10.0::DOUBLE) ELSE (g + 10.0::DOUBLE * hp) / (n + 10.0::DOUBLE) END AS purity
+q AS (SELECT a.host, a.parent, a.template, CASE WHEN merged AND mn = 0 THEN NULL WHEN merged THEN (mg + 10.0::DOUBLE * hp) / (mn + 10.0::DOUBLE) ELSE (g + 10.0::DOUBLE * hp) / (n + 10.0::DOUBLE) END AS purity
       FROM a LEFT JOIN j USING (host, parent) JOIN h ON h.host = a.host)
 SELECT page_id, r.host, r.path, rule, template,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity < 0.5 THEN 'block' ELSE 'allow' END AS verdict
-FROM r JOIN leaf USING (host, path) JOIN q USING (host, template)""",
+FROM r JOIN s6 USING (host, path) JOIN q ON q.host = r.host AND q.parent = s6.parent AND q.template = s6.t""",
     "op7_near_dedup": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BLANK}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x
