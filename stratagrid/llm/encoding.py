@@ -27,8 +27,9 @@ class Encoder:
     """Ids of texts, as encode(text, add_special_tokens=False) gives them.
 
     The tokenizer must drop white space and cut words at it, as this vocabulary's does: then a text's ids are its
-    words' ids in turn. Each distinct word is encoded once; the rest are looked up by a 64-bit hash. Words that hold
-    one of the special tokens' strings are encoded alone.
+    words' ids in turn. Each distinct word is encoded once; the rest are looked up by a 64-bit hash, so that two of the
+    words in a memo would have to share one for a wrong id (odds of one in ten million for each full memo). Words that
+    hold one of the special tokens' strings are encoded alone.
     """
 
     def __init__(self, path: str, between: str = "<|startoftext|>"):

@@ -3,8 +3,9 @@
 A piece of n tokens costs n + n * n / `knee`: the linear layers and the attention inside the piece. Each task packs
 pools of about POOL tokens of its own rows, so no row is shuffled. In a pool, whole sequences are cut from documents
 that are longer than one; what is left, in descending length, goes to the sequence of least cost so far that has
-room for all of it, else the sequence of least cost takes as much as it has room for and the rest goes on. There are as many sequences as the pool fills; what remains goes to sequences whose lengths are
-powers of two, so nothing is padded.
+room for all of it, else the sequence of least cost takes as much as it has room for and the rest goes on. There are as many sequences as the pool fills; what remains, less than a sequence,
+goes into the task's next pool, and that of its last one to sequences whose lengths are powers of two, so nothing is
+padded.
 """
 
 from __future__ import annotations
@@ -25,9 +26,13 @@ POOL = 1 << 21
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint"
 
 
-def pack_lengths(lengths: list[int], capacity: int = 4096, knee: int = 4096) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
-    """Pieces (document, start, length, sequence, offset) and the sequences' lengths. Each is filled without padding."""
-    pieces: list[tuple[int, int, int, int, int]] = []
+Piece = tuple[int, int, int, int, int]
+
+
+def fill(lengths: list[int], capacity: int = 4096, knee: int = 4096) -> tuple[list[Piece], list[int], list[list[int]]]:
+    """Pieces (document, start, length, sequence, offset), the sequences' lengths, all of them full, and the rest
+    (document, start, length), less than a sequence."""
+    pieces: list[Piece] = []
     sizes: list[int] = []
     left: list[tuple[int, int, int]] = []  # (-length, document, start)
     for doc, n in enumerate(lengths):
@@ -79,6 +84,12 @@ def pack_lengths(lengths: list[int], capacity: int = 4096, knee: int = 4096) ->
             start, n = start + part, n - part
         if n:
             rest.append([doc, start, n])
+    return pieces, sizes, rest
+
+
+def pack_lengths(lengths: list[int], capacity: int = 4096, knee: int = 4096) -> tuple[list[Piece], list[int]]:
+    """Pieces and the sequences' lengths, with the rest in sequences of lengths that are powers of two."""
+    pieces, sizes, rest = fill(lengths, capacity, knee)
     tail = sum(x[2] for x in rest)
     for bit in reversed(range(tail.bit_length())):
         if tail >> bit & 1:
@@ -96,36 +107,57 @@ def pack_lengths(lengths: list[int], capacity: int = 4096, knee: int = 4096) ->
 
 
 def _pack(tokenizer: str, end_id: int, capacity: int, knee: int):
-    def pool(ids: list[pa.Array], tokens: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
-        pieces, sizes = pack_lengths([len(x) for x in tokens], capacity, knee)
-        doc, start, length, seq, at = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-        crc = [zlib.crc32(tokens[d][s : s + n]) for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-        lengths = np.array([len(x) for x in tokens], np.int64)
-        carry = pa.concat_arrays(ids).take(pa.array(doc))
-        cols = [carry, *map(pa.array, (start, length, np.array(crc, np.int64), lengths[doc], seq + first, at, np.array(sizes, np.int64)[seq]))]
-        names = ["carry", *(x.split()[0] for x in PIECE.split(", "))]
-        return pa.RecordBatch.from_arrays(cols, names), len(sizes)
+    names = ["carry", *(x.split()[0] for x in PIECE.split(", "))]
+
+    class Pools:
+        """Rows' tokens, or what a pool left of them: carry, tokens, place of the first of them, tokens of the document."""
+
+        def __init__(self):
+            self.first = TaskContext.get().partitionId() << 40
+            self.clear()
+
+        def clear(self) -> None:
+            self.carry: list[pa.Array] = []
+            self.tokens: list[np.ndarray] = []
+            self.base: list[int] = []
+            self.total: list[int] = []
+            self.size = 0
+
+        def add(self, carry: pa.Array, tokens: list[np.ndarray], base: list[int], total: list[int]) -> None:
+            self.carry.append(carry)
+            self.tokens += tokens
+            self.base += base
+            self.total += total
+            self.size += sum(len(x) for x in tokens)
+
+        def close(self, last: bool) -> Iterator[pa.RecordBatch]:
+            lengths = [len(x) for x in self.tokens]
+            pieces, sizes, *rest = pack_lengths(lengths, capacity, knee) if last else fill(lengths, capacity, knee)
+            carry = pa.concat_arrays(self.carry)
+            if pieces:
+                doc, start, length, seq, at = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+                crc = [zlib.crc32(self.tokens[d][s : s + n]) for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+                base, total = np.array(self.base, np.int64)[doc], np.array(self.total, np.int64)[doc]
+                cols = [carry.take(pa.array(doc)), *map(pa.array, (start + base, length, np.array(crc, np.int64), total, seq + self.first, at, np.array(sizes, np.int64)[seq]))]
+                yield pa.RecordBatch.from_arrays(cols, names)
+            self.first += len(sizes)
+            tokens, base, total = self.tokens, self.base, self.total
+            self.clear()
+            for d, s, n in rest[0] if rest else []:
+                self.add(carry.slice(d, 1), [tokens[d][s : s + n].copy()], [base[d] + s], [total[d]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding.encoder(tokenizer)
-        first = TaskContext.get().partitionId() << 40
-        held: list[pa.Array] = []
-        tokens: list[np.ndarray] = []
-        n = 0
+        enc, pools = encoding.encoder(tokenizer), Pools()
         for b in batches:
             for i, j, buf, off in tx.slices(b.column("text")):
                 got, counts = enc.encode(buf, off)
                 at = np.append(0, np.cumsum(counts))
-                for k in range(j - i):
-                    tokens.append(np.append(got[at[k] : at[k + 1]], np.uint32(end_id)).astype("<u4"))
-                held.append(b.column("carry").slice(i, j - i))
-                n += len(got) + j - i
-                if n >= POOL:
-                    out, made = pool(held, tokens, first)
-                    yield out
-                    held, tokens, n, first = [], [], 0, first + made
-        if tokens:
-            yield pool(held, tokens, first)[0]
+                tokens = [np.append(got[at[k] : at[k + 1]], np.uint32(end_id)).astype("<u4") for k in range(j - i)]
+                pools.add(b.column("carry").slice(i, j - i), tokens, [0] * (j - i), [len(x) for x in tokens])
+                if pools.size >= POOL:
+                    yield from pools.close(False)
+        if pools.tokens:
+            yield from pools.close(True)
 
     return tx.trimmed(run)
 

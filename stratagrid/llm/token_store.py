@@ -32,6 +32,8 @@ from . import encoding, shared, text as tx
 
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
+#: Bytes of text in a shard, about: at most, and at least where there are tasks to spare.
+MOST, LEAST = 256 << 20, 8 << 20
 MANIFEST = "shard int, path string, documents bigint, tokens bigint, bytes bigint"
 
 
@@ -131,15 +133,17 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int, level: int):
 def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 1, width: int = 4, level: int = 3) -> list:
     """Encode docs into shards under folder, ascending by doc_id from shard to shard; returns the manifest's rows.
 
-    Null ids come first, equal ids by their texts' hashes. A null or empty text has end_id alone. The manifest has a row
-    for each shard, and shards are of a task's size.
+    Null ids come first, equal ids by their texts' hashes, so that they can be in several shards. A null or empty text has
+    end_id alone. The manifest has a row for each shard; a shard has about MOST bytes of text at most, less where there
+    are more tasks than that makes.
     """
     spark = docs.sparkSession
     shared.prepare(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, tasks = shared.text_bytes(docs, text), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(shared.parts(total, MOST, least=1), min(tasks, shared.parts(total, LEAST, least=1)))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = rows.repartitionByRange(n, order[0]).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return sorted(ranged.mapInArrow(_write(folder, tokenizer or encoding.default_tokenizer(), end_id, width, level), MANIFEST).collect())
 
 

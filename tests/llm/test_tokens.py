@@ -75,6 +75,30 @@ def test_packing(spark, direct):
     assert packing.pack(h.table(spark, [])).collect() == []
 
 
+def test_a_task_has_one_tail(spark):
+    """What a pool leaves goes into the next one: sequences under the capacity come at the end of a task only."""
+    rng = random.Random(3)
+    rows = [(i, h.prose(rng, rng.randint(1, 60))) for i in range(400)] + [(1000, h.prose(rng, 30_000))]
+    whole = packing.pack(h.table(spark, rows).coalesce(1), capacity=64).collect()
+    tails = {r.sequence_id: r.sequence_tokens for r in whole if r.sequence_tokens < 64}
+    assert sorted(tails) == list(range(max(r.sequence_id for r in whole) - len(tails) + 1, max(r.sequence_id for r in whole) + 1)) and len(set(tails.values())) == len(tails)
+
+
+def test_pools_hand_on_their_rest():
+    rng = random.Random(2)
+    lengths = [rng.randint(1, 300) for _ in range(500)]
+    pieces, sizes, rest = packing.fill(lengths, 128, 128)
+    assert set(sizes) == {128} and sum(x[2] for x in rest) == sum(lengths) % 128 and sum(x[2] for x in pieces) + sum(x[2] for x in rest) == sum(lengths)
+
+
+def test_equal_ids_are_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(store, "LEAST", 2000)
+    rng = random.Random(6)
+    rows = [(None, h.prose(rng, 40)) for _ in range(60)]
+    manifest = store.write(h.table(spark, rows), shared.new_folder(spark, "tokens"))
+    assert len([m for m in manifest if m.documents]) > 1 and len(store.digests(spark, manifest).collect()) == 60
+
+
 def test_store_round_trip(spark, direct):
     rows = h.corpus(11) + [(None, "null id"), (900, "ends <|endoftext|>")]
     manifest = store.write(h.table(spark, rows), shared.new_folder(spark, "tokens"))
