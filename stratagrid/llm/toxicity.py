@@ -4,8 +4,9 @@ P(grade <= k) = logistic(cut[k] - w . x): all thresholds share the weights w, an
 words and hashed beginnings of words (of 4 to 7 bytes), weighted 1 + log(count). The score is the expected grade, sum over k of
 P(grade > k). Weights have a fixed size (2 ** BITS floats), so they go to the executors as they are.
 
-Fitting uses at most `max_labelled` labels, those with the least hash of their key, and at most `max_features`
-features of their texts; scoring reads every text whole.
+Fitting uses at most `max_labelled` labels, those with the least hash of their key, one text for each, and of these texts,
+in the same order, so many that they have at most `max_features` features in all; a text has at most 2 ** BITS. Both
+bounds hold before anything comes to the driver. Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, text as tx
@@ -51,7 +53,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, buf, off in tx.slices(b.column("text")):
             at, value, n = features(buf, off)
             offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("grade").slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(value))], ["grade", "at", "value"])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (at.astype(np.int32), value)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("place", "grade")), pa.array(n.astype(np.int64)), *lists], ["place", "grade", "n", "at", "value"])
 
 
 class Model:
@@ -120,26 +123,24 @@ def grade(toxic: Column, quality: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "grade", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Model:
     """labels: key and grade, 0 .. GRADES - 1. The `max_labelled` labels with the least hash of their key are used.
 
-    Null keys, grades and texts are left out; of repeated labels the highest counts. Without rows, all is harmless.
+    Null keys, grades and texts are left out; of repeated labels the highest counts, of a key's texts the least. Without
+    rows, all is harmless. The fit does not depend on the order of rows.
     """
     spark = docs.sparkSession
     shared.prepare(spark)
     each = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("grade")).where("key IS NOT NULL AND grade IS NOT NULL").groupBy("key").agg(F.max("grade").alias("grade"))
-    chosen = F.broadcast(each.orderBy(F.xxhash64("key"), "key").limit(max_labelled))
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL").join(chosen, "key").select("grade", "text")
-    grades, at, value, n, total = [], [], [], [], 0
-    for r in sample.mapInArrow(_cells, "grade int, at array<int>, value array<float>").toArrow().to_batches():
-        for g, a, x in zip(r.column("grade").to_pylist(), r.column("at"), r.column("value"), strict=True):
-            a = a.values.to_numpy()
-            if total + len(a) <= max_features:
-                grades.append(g)
-                at.append(a)
-                value.append(x.values.to_numpy())
-                n.append(len(a))
-                total += len(a)
-    if not grades:
+    chosen = each.withColumn("place", F.xxhash64("key")).orderBy("place", "key").limit(max_labelled)
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "key")  # max_labelled rows
+    sample = found.groupBy("key", "place", "grade").agg(F.min("text").alias("text")).select("place", "grade", "text")
+    cells = shared.materialise(sample.mapInArrow(_cells, "place bigint, grade int, n bigint, at array<int>, value array<float>"), "cells", 8)
+    # at most max_labelled rows
+    within = cells.select("place", F.sum("n").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)).alias("sum")).where(F.col("sum") <= max_features)
+    got = cells.join(F.broadcast(within), "place").orderBy("place").select("grade", "n", "at", "value").toArrow()
+    grades, n = (np.array(got.column(c).to_pylist(), np.int64) for c in ("grade", "n"))
+    at, value = (pc.list_flatten(got.column(c)).to_numpy() for c in ("at", "value"))
+    if not len(grades):
         return Model(np.zeros(1 << BITS, np.float32), np.full(GRADES - 1, 9.0))
-    return fit_cells(np.array(grades), np.concatenate(at).astype(np.int64), np.concatenate(value), np.array(n))
+    return fit_cells(grades, at.astype(np.int64), value, n)
 
 
 def _score(weights: bytes, cuts: list[float]):
