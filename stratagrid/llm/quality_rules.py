@@ -66,7 +66,11 @@ def measured(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
 
 
 def ledger(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns in carry (default doc_id), the measurements and failures (bigint bitmask), a row for each of docs."""
+    """The columns in carry (default doc_id), the measurements and failures (bigint bitmask), a row for each of docs.
+
+    Null and empty texts have measurements of 0 and so too few words. Each row is judged by itself: repeated rows and ties
+    come as often as they are there, and an empty table has none. Columns not in carry are not read.
+    """
     bits = F.lit(0).cast("long")
     for name, condition in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))

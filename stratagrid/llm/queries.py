@@ -34,12 +34,22 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", "n_near")
+
+
+def quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ledger of all documents: policies and ablations read it, and not the texts."""
+    return shared.materialise(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = quality_rules.ledger(table(spark, sf_dir, "documents"))
-    return held.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"))
+    held = quality_ledger(spark, sf_dir)
+    return held.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"), "failures", F.lit("v1").alias("policy"))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 removes, with the others and alone, from the stored ledger."""
+    return quality_rules.ablation(quality_ledger(spark, sf_dir), "v1")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "quality_ablation": quality_ablation,
     "op5_url_filters": op5_url_filters,
     "op6_token_store": op6_token_store,
     "op7_near_dedup": op7_near_dedup,
@@ -84,6 +95,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
+#: SQL of op4's ledger: f has the measurements and the failure bits.
+QUALITY = rf"""d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{BLANK}') AS w FROM documents),
+line AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup
+         FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{BLANK}') GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+hit AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest(range(5)) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+             CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+      FROM d LEFT JOIN line USING (doc_id) LEFT JOIN hit USING (doc_id)),
+f AS (SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+                     + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
+                     + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 30 * n_words THEN 32 ELSE 0 END AS BIGINT) AS failures FROM m)"""
+
 #: SQL for: of n labels, g good, against the pn and pg of all, more than 1.96 deviations and half a label.
 CHANCE = "2 * abs(g * pn - n * pg) - pn > 0 AND pow(CAST(2 * abs(g * pn - n * pg) - pn AS DOUBLE), 2) * pn > 4 * 1.96::DOUBLE * 1.96::DOUBLE * n::DOUBLE * pg * (pn - pg) * (pn - n)"
 
@@ -125,25 +150,29 @@ dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, lens WHERE len(w) >= k)),
 m AS (SELECT doc_id, i, dw.k, item FROM dw JOIN bw ON dw.s = bw.s AND dw.k = bw.k),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM m)) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id),
+-- proximity: starts by the rarest and the second rarest place of a window that differ by at most 3, where the window does not stand
+place AS (SELECT s, unnest(range(0, len(x))) AS off, unnest(x) AS term FROM (SELECT DISTINCT s, string_split(s, ' ') AS x FROM bw)),
+dp AS (SELECT doc_id, p - 1 AS pos, x AS term FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d) SEMI JOIN place ON x = term),
+freq AS (SELECT term, count(*) AS n FROM dp GROUP BY term),
+rare AS (SELECT s, off, term, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY s ORDER BY coalesce(n, 0), term, off) AS k FROM place LEFT JOIN freq USING (term)),
+st AS (SELECT DISTINCT doc_id, s, k, pos - off AS a FROM dp JOIN rare USING (term) WHERE k <= 2 AND pos >= off),
+near AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, x.s, x.a FROM st x JOIN st y USING (doc_id, s) WHERE x.k = 1 AND y.k = 2 AND x.a <> y.a AND abs(x.a - y.a) <= 3) c
+         ANTI JOIN (SELECT doc_id, i - 1 AS a, dw.s FROM dw JOIN bw ON dw.s = bw.s AND dw.k = bw.k) e USING (doc_id, s, a) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(t, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
-    "op4_quality_rules": rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{BLANK}') AS w FROM documents),
-line AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup
-         FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{BLANK}') GROUP BY doc_id),
-win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
-hit AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest(range(5)) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
-m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
-             CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
-             CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
-      FROM d LEFT JOIN line USING (doc_id) LEFT JOIN hit USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 30 * n_words
-            OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines) OR word_chars < 2 * n_words OR word_chars > 30 * n_words) AS kept
-FROM m""",
+       sha256(coalesce(t, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated,
+       CAST(coalesce(near.n, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN near USING (doc_id)""",
+    "op4_quality_rules": f"""
+WITH {QUALITY}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures, 'v1' AS policy
+FROM f""",
+    "quality_ablation": f"""
+WITH {QUALITY},
+r AS (SELECT unnest(['too_few_words', 'repeated_phrases', 'symbols', 'duplicate_lines', 'short_mean_word', 'long_mean_word']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit)
+SELECT rule, count(*) AS texts, count(*) FILTER (failures & bit <> 0) AS failed, count(*) FILTER (failures = bit) AS only,
+       count(*) FILTER (failures = bit OR failures = 0) AS kept_without
+FROM f, r GROUP BY rule""",
     "op5_url_filters": rf"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{URL}', 1), ''), '{UPPER}', '{LOWER}') AS host,
                   coalesce(regexp_extract(url, '{URL}', 2), '') AS path FROM pages),

@@ -38,6 +38,17 @@ def test_equals_brute_force(spark):
     assert next(r.n_near for r in got if r.doc_id == 504) > 0
 
 
+def test_copies_and_frequent_short_items(spark, monkeypatch):
+    from stratagrid.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    monkeypatch.setattr(op, "BROADCAST_BYTES", 10)
+    items = [(1, "solo"), (2, "solo"), (3, "two words")]
+    rows = [(i, "solo two words " * 40) for i in range(30)] + [(100, "solo " * 5000), (101, None), (101, None)]
+    got = op.decontaminate(h.table(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got), key=str) == brute(rows, items)
+
+
 def test_shuffled_when_large(spark):
     rows, items = [(1, "a b c d"), (2, "b c")], [(1, "b c")]
     got = op.decontaminate(h.table(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), broadcast_rows=0).collect()
