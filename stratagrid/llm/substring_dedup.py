@@ -319,7 +319,7 @@ def _subtrees(window: int, subtree: int):
     return tidy
 
 
-def repeated_intervals(docs: DataFrame, text: str = "text", window: int = 35, group: int = 1_000_000, subtree: int = SUBTREE) -> DataFrame:
+def repeated_intervals(docs: DataFrame, text: str = "text", window: int = 35, group: int = 500_000, subtree: int = SUBTREE) -> DataFrame:
     """Intervals of words, [start_word, end_word), that windows occurring twice or more cover, by key of text.
 
     Rows (k1, k2, start_word, end_word), some of them repeated; intervals of one text can overlap. Null and short texts
