@@ -21,24 +21,33 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the severity model, fitted on the labelled ones among docs, calls toxic."""
+    """Without the documents that the severity model, fitted on the labelled ones among docs, calls toxic.
+
+    Null and empty texts have no features and stay where most labelled texts are harmless; without labels all stay.
+    Repeated rows are judged alike; ties at the limit stay."""
     labels = shared.table(spark, sf_dir, "labels").select("doc_id", toxicity.grade(F.col("toxic"), F.col("quality")).alias("grade"))
     model = toxicity.fit(docs, labels)
     return toxicity.score(_rows(docs), model, carry=["row"]).where("NOT toxic").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates (four fifths of their five-word shingles): the least doc_id's, and of its repeated rows one. Texts without words stay."""
+    """One row of each group of near-duplicates (four fifths of their five-word shingles): the least doc_id's, and of its repeated rows one. Texts without words stay.
+
+    Of rows with equal ids and other texts in one group the one with the least key of text stays; null ids come first."""
     found = near_dedup.near_duplicates(docs, percent=80)
     keep = found.where("n_shingles > 0 AND kept").groupBy("group_key").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("row")).select("row.*")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("i"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("filled"), *shared.text_key(F.col("text")))
-    same = rows["i"].eqNullSafe(keep["doc_id"]) & (rows["k1"] == keep["k1"]) & (rows["k2"] == keep["k2"])
-    chosen = rows.where("filled").join(keep, same, "left_semi").dropDuplicates(["i", "k1", "k2"])
+    at = ["i", "z", *shared.KEY]
+    number = lambda i: (F.coalesce(i, F.lit(0)).cast("long").alias("i"), i.isNull().alias("z"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *number(F.col("doc_id")), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("filled"), *shared.text_key(F.col("text")))
+    hot = shared.hot_keys(found.where("n_shingles > 0").groupBy(*number(F.col("doc_id")), *shared.KEY).agg(F.count("*").alias("n")), at)
+    chosen = shared.join_spread(rows.where("filled"), keep.select(*number(F.col("doc_id")), *shared.KEY), at, hot, "left_semi").dropDuplicates(at)
     return chosen.select("row.*").unionByName(rows.where("NOT filled").select("row.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 35 words or more that occur elsewhere too; a text of which nothing stays goes."""
+    """Texts without the passages of 35 words or more that occur elsewhere too; a text of which nothing stays goes.
+
+    Null and short texts stay as they are; repeated rows are repeats of one another."""
     cut = substring_dedup.substring_dedup(_rows(docs), carry=["row"], want_text=True)
     left = cut.where("n_removed = 0 OR n_removed < n_words")
     changed = F.col("n_removed") > 0
@@ -47,12 +56,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold ten successive words of a benchmark item, or all of a shorter one."""
+    """Without the documents that hold ten successive words of a benchmark item, or all of a shorter one.
+
+    Null and empty texts hold none and stay, as all do where the benchmark is empty; repeated rows are judged alike."""
     return decontaminate.decontaminate(_rows(docs), shared.table(spark, sf_dir, "benchmark"), carry=["row"]).where("NOT contaminated").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 tokens."""
+    """Pieces of the documents in sequences of 4096 tokens. Null and empty texts are their end id alone; repeated rows are
+    packed as often as they come; no documents make no pieces."""
     return packing.pack(docs, end_id=2)
 
 
