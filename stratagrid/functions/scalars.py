@@ -148,10 +148,12 @@ def is_refusal(ok: Column, tried: Column, n_vars: Column, error: Column) -> Colu
     return attempted(tried) & F.when(opened(ok), F.coalesce(n_vars, F.lit(0)) == 0).otherwise(~_any_text(error, DIAGNOSIS_LIMITS))
 
 
+#: Messages that are passed on are passed on whole.
+WHOLE = 2**31 - 1
 #: (condition on type and message, class, characters of the message to append) in order of precedence.
 REFUSALS: list[tuple[str, str, int | None]] = [
-    ("type = 'ProbeTimeout'", "budget ran out", 10_000),
-    ("type = 'ProbeCrash'", "reader died", 10_000),
+    ("type = 'ProbeTimeout'", "budget ran out", WHOLE),
+    ("type = 'ProbeCrash'", "reader died", WHOLE),
     ("type = 'UnicodeDecodeError'", "group name is not UTF-8", None),
     ("contains(msg, 'dimension scales attached')", "several dimension scales on one axis", None),
     ("contains(type, 'KeyError') AND contains(msg, 'data')", "data-block references unreadable", None),
@@ -159,10 +161,10 @@ REFUSALS: list[tuple[str, str, int | None]] = [
     ("contains(msg, 'fill_value')", "text fill value on a number", None),
     ("contains(msg, 'data type resolution')", "inexpressible data type", 70),
     ("contains(msg, 'same number of dimensions')", "wrong number of dimension names", None),
-    ("contains(msg, 'copy-to-disk limit')", "copy limit", 10_000),
+    ("contains(msg, 'copy-to-disk limit')", "copy limit", WHOLE),
     ("contains(msg, 'unrecognized container format')", "no known container signature", None),
     ("contains(type, 'Hdf5FeatureNotSupported')", "filter without a codec", 80),
-    ("type = 'NoParser' OR contains(msg, 'no VirtualiZarr parser reads')", "", 10_000),
+    ("type = 'NoParser' OR contains(msg, 'no VirtualiZarr parser reads')", "", WHOLE),
     ("contains(msg, 'variable-length')", "variable-length data", None),
 ]
 
@@ -302,6 +304,33 @@ def sniff(content: Column) -> Column:
     return out
 
 
+def shown_grade(grade: Column) -> Column:
+    """A grade as a table shows it: the best with a star, and no asterisk that Markdown would take for emphasis."""
+    return F.when(grade == "A", "A ⭐").when(grade == "F*", "F\\*").otherwise(grade)
+
+
+def relative_paths(text: Column, places: list[tuple[str, str]]) -> Column:
+    """text with each path of places in place of its name, the longest paths first."""
+    out = text
+    for path, name in sorted(places, key=lambda x: -len(x[0])):
+        out = F.replace(out, F.lit(path), F.lit(name))
+    return out
+
+
+# What is copied to disk at most, for probing and for a diagnosis.
+COPY_BYTES, DIAGNOSE_BYTES = 800 << 20, 2 << 30
+
+
+def reading(container: Column, file_bytes: Column) -> Column:
+    """How a granule is read: hdf4 is copied first, up to COPY_BYTES, and refused beyond; all else is read by ranges."""
+    return F.when(container != "hdf4", "range").when(file_bytes <= COPY_BYTES, "copy").otherwise("refused")
+
+
+def diagnosis_of(container: Column, file_bytes: Column) -> Column:
+    """Which diagnosis a granule gets; larger files are skipped, and containers that none knows have none."""
+    return F.when(file_bytes > DIAGNOSE_BYTES, "skipped").when(container.isin("hdf5", "hdf4", "zip", "text"), container).otherwise("none")
+
+
 def verdict(criterion: str, status: Column, note: Column) -> Column:
     return F.struct(F.lit(criterion).alias("id"), status.alias("status"), note.alias("note"))
 

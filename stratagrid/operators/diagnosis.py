@@ -16,8 +16,7 @@ ZARR_FILTERS = ["gzip", "shuffle", "fletcher32", "zstd", "blosc"]
 def representatives(refusals: DataFrame, order: str) -> DataFrame:
     """The first of each collection's refusals with one error, and n_like_this; errors are compared by 200 characters."""
     keys = [ID, F.coalesce("error_type", F.lit("no arrays returned")), F.substring("error", 1, 200)]
-    counted = refusals.withColumn("n_like_this", F.count("*").over(Window.partitionBy(*keys))).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    return counted.where("_r = 1").drop("_r")
+    return refusals.groupBy(*keys).agg(F.min_by(F.struct(*refusals.columns), order).alias("_first"), F.count("*").alias("n_like_this")).select("_first.*", "n_like_this")
 
 
 #: Buckets by condition over error_type and error; the survey's own taxonomy is a table like this, so users pass theirs.
@@ -40,6 +39,30 @@ def bucket_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("bucket").agg(F.count_distinct(ID).alias("n_collections"), F.count("*").alias("n_granules"))
 
 
+def bucket_labels(found: DataFrame, order: str) -> DataFrame:
+    """(collection_id, buckets sorted and joined, n_refused, example: its first refusal's type, error and bucket)."""
+    example = F.min_by(F.struct("error_type", F.substring("error", 1, 200).alias("error"), "bucket"), order)
+    return found.groupBy(ID).agg(F.array_join(F.array_sort(F.collect_set("bucket")), ", ").alias("buckets"), F.count("*").alias("n_refused"), example.alias("example"))
+
+
+def unnamed_classes(found: DataFrame) -> DataFrame:
+    """As unnamed, with the collections' ids sorted: those with most granules first."""
+    key = F.concat(F.col("error_type"), F.lit(": "), s.collapse(F.col("error")))
+    each = found.where("bucket = 'OTHER'").groupBy(key.alias("error"), ID).agg(F.count("*").alias("n"))
+    return each.groupBy("error").agg(F.sum("n").alias("n_granules"), F.array_sort(F.collect_list(ID)).alias("collections")).orderBy(F.desc("n_granules"), "error")
+
+
+def bucket_report(found: DataFrame, order: str) -> DataFrame:
+    """One row with the whole document as JSON: labels by collection, buckets by their number of collections, unnamed classes.
+
+    It has a line for each refused collection, as its readers expect, and so is one row: for surveys, not for granules."""
+    labels = bucket_labels(found, order).agg(F.array_sort(F.collect_list(F.struct(ID, "buckets", "n_refused", "example"))).alias("collections"))
+    ranked = bucket_counts(found).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n_collections")).alias("n"), "bucket"))), lambda x: F.struct(x["bucket"].alias("bucket"), (-x["n"]).alias("n_collections"))).alias("collections_per_bucket"))
+    rest = unnamed_classes(found).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_granules")).alias("n"), "error", "collections"))).alias("u"))
+    rest = rest.select(F.transform("u", lambda x: F.struct(x["error"].alias("error"), (-x["n"]).alias("n_granules"), x["collections"].alias("collections"))).alias("unnamed"))
+    return labels.crossJoin(ranked).crossJoin(rest).select(F.to_json(F.struct("collections", "collections_per_bucket", "unnamed")).alias("document"))  # of one row each
+
+
 def unnamed(found: DataFrame) -> DataFrame:
     """Classes of refusal without a bucket: text with its numbers collapsed, granules, collections."""
     key = F.concat(F.col("error_type"), F.lit(": "), s.collapse(F.col("error")))

@@ -14,21 +14,23 @@ from .facts import ID
 def tiff_lattice(tiffs: DataFrame) -> DataFrame:
     """(collection_id, status, note) from pixel sizes, projections and origins of tiles.
 
-    Origins are compared in one projection only, with the first one seen; lattices of several projections are named in
+    scale, where there is one, is a tile's whole pixel size, px its first length; a missing one is a value of its own. Origins are compared in one projection only, with the first one seen; lattices of several projections are named in
     order. Collections without tiles have no row.
     """
     t = tiffs.withColumn("crs", F.coalesce("crs", F.lit("")))
     tied = t.where("x0 IS NOT NULL")
     first = tied.groupBy(ID, "crs").agg(F.min_by(F.struct("x0", "y0"), F.struct("gi", "x0", "y0")).alias("o"), F.count_distinct("x0", "y0").alias("origins"))
-    px = t.groupBy(ID).agg(F.min("px").alias("lo"), F.max("px").alias("px"))
+    scale = F.struct(F.col("scale") if "scale" in tiffs.columns else F.col("px"))
+    sizes = t.groupBy(ID, scale.alias("scale")).agg(F.max("px").alias("px"))
+    px = sizes.groupBy(ID).agg(F.count("*").alias("sizes"), F.max("px").alias("px"))
     away = lambda c: F.abs(F.col(c) - F.col(f"o.{c}") - F.col("px") * F.rint((F.col(c) - F.col(f"o.{c}")) / F.col("px"))) >= 1e-6
     off = tied.drop("px").join(first, [ID, "crs"]).join(px, ID).groupBy(ID, "crs", "origins").agg(F.bool_or(away("x0") | away("y0")).alias("off"))
     found = off.groupBy(ID).agg(F.count("*").alias("n_crs"), F.bool_or(F.col("crs") == "").alias("nameless"), F.min(F.when(F.col("off"), F.col("crs"))).alias("bad"), F.sum("origins").alias("origins"))
     c = F.col
     all_ = px.join(found, ID, "left")
-    status = F.when(c("lo") < c("px"), "no").when(c("n_crs").isNull() | c("nameless"), "unknown").when(c("bad").isNotNull(), "no").when((c("n_crs") > 1) | (c("origins") > 1), "partial").otherwise("yes")
+    status = F.when(c("sizes") > 1, "no").when(c("n_crs").isNull() | c("nameless"), "unknown").when(c("bad").isNotNull(), "no").when((c("n_crs") > 1) | (c("origins") > 1), "partial").otherwise("yes")
     note = (
-        F.when(c("lo") < c("px"), "pixel sizes differ")
+        F.when(c("sizes") > 1, "pixel sizes differ")
         .when(c("n_crs").isNull(), "no tiepoint")
         .when(c("nameless"), "no projection named")
         .when(c("bad").isNotNull(), say("origins off the lattice in ", c("bad")))

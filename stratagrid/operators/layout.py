@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
@@ -72,6 +72,13 @@ def dataset_census(datasets: DataFrame, key: str) -> DataFrame:
     return counts.join(names, key, "left").withColumn("filters", F.coalesce("filters", F.lit("")))
 
 
+def codec_histogram(elements: DataFrame, key: str, place: str, samples: int = 4) -> DataFrame:
+    """(key, codec, n, first): elements by codec, and the places of the first few of each."""
+    ranked = elements.where("codec IS NOT NULL").withColumn("_r", F.row_number().over(Window.partitionBy(key, "codec").orderBy(place)))
+    first = ranked.where(F.col("_r") <= samples).groupBy(key, "codec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", place))), lambda x: x[place].cast("string")), ",").alias("first"))
+    return elements.where("codec IS NOT NULL").groupBy(key, "codec").agg(F.count("*").alias("n")).join(first, [key, "codec"])
+
+
 def tag_census(elements: DataFrame, key: str) -> DataFrame:
     """key, contiguous, chunks, codecs, extensions of (key, extended, extension, n_chunks, codec): how blocks are addressed."""
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")

@@ -14,9 +14,9 @@ PER_END, INTERIOR, PER_REVISION, ORBIT_SCAN = 2, 4, 1, 40
 
 def first_and_last(granules: DataFrame, by: str, n: int) -> DataFrame:
     """The n first and n last granules of each collection by a column, then id; a short collection's rows come once."""
-    up = Window.partitionBy(ID).orderBy(by, "granule_id")
-    down = Window.partitionBy(ID).orderBy(F.desc(by), "granule_id")
-    return granules.withColumn("_u", F.row_number().over(up)).withColumn("_d", F.row_number().over(down)).where((F.col("_u") <= n) | (F.col("_d") <= n)).drop("_u", "_d")
+    # each end is limited before it is shuffled, so a collection with very many granules sends a few of each task
+    end = lambda first: granules.withColumn("_r", F.row_number().over(Window.partitionBy(ID).orderBy(first, "granule_id"))).where(F.col("_r") <= n).drop("_r")
+    return end(F.asc(by)).unionByName(end(F.desc(by))).dropDuplicates([ID, "granule_id"])
 
 
 def windows(spans: DataFrame, n: int = INTERIOR) -> DataFrame:
@@ -87,8 +87,8 @@ def pin_asset(candidates: DataFrame) -> DataFrame:
 
 def abandoned(granules: DataFrame) -> DataFrame:
     """attempted_now: false for granules after the first of their collection that ran out of budget."""
-    before = Window.partitionBy(ID).orderBy("gi").rowsBetween(Window.unboundedPreceding, -1)
-    return granules.withColumn("attempted_now", ~F.coalesce(F.max(F.col("error_type") == "ProbeTimeout").over(before), F.lit(False)))
+    first = granules.where("error_type = 'ProbeTimeout'").groupBy(ID).agg(F.min("gi").alias("_first"))
+    return granules.join(first, ID, "left").withColumn("attempted_now", F.coalesce(F.col("gi") <= F.col("_first"), F.lit(True))).drop("_first")
 
 
 def resume(todo: DataFrame, done: DataFrame) -> DataFrame:
@@ -108,5 +108,36 @@ def matching(granules: DataFrame, pattern, by: str, n: int) -> DataFrame:
 
 
 def latest(catalog: DataFrame, name: str, version: str) -> DataFrame:
-    """The last version of each name, versions compared as text."""
-    return catalog.withColumn("_r", F.row_number().over(Window.partitionBy(name).orderBy(F.desc(F.coalesce(version, F.lit("")))))).where("_r = 1").drop("_r")
+    """The last version of each name, versions compared as text; of equal ones the row that is least as a whole."""
+    last = F.max(F.coalesce(version, F.lit("")))
+    tops = catalog.groupBy(name).agg(last.alias("_last"))
+    return catalog.join(tops, name).where(F.coalesce(version, F.lit("")) == F.col("_last")).groupBy(name).agg(F.min(F.struct(*catalog.columns)).alias("_row")).select("_row.*")
+
+
+def resolve(requests: DataFrame, catalog: DataFrame, name: str, version: str) -> DataFrame:
+    """requests with their catalog row: that of the version asked for, or of the last one where none is; null if unknown.
+
+    requests has name and version. Of equal catalog rows the least as a whole counts."""
+    rest = [x for x in catalog.columns if x not in (name, version)]
+    exact = catalog.groupBy(name, version).agg(F.min(F.struct(version, *rest)).alias("_exact"))
+    last = latest(catalog, name, version).select(name, F.struct(version, *rest).alias("_latest"))
+    found = requests.join(exact, [name, version], "left").join(last, name, "left").withColumn("_row", F.when(F.col(version).isNull(), F.col("_latest")).otherwise(F.col("_exact")))
+    return found.select(name, F.col(version).alias("asked"), F.col(f"_row.{version}").alias("found"), *(F.col(f"_row.{x}") for x in rest))
+
+
+def required(rows: DataFrame, known: DataFrame, key: str, what: str) -> DataFrame:
+    """rows with the columns of known; a row whose key is not known is an error, raised when the plan runs."""
+    found = rows.join(known.withColumn("_known", F.lit(True)), key, "left")
+    checked = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit(f"no {what} for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.col(key))
+    return found.withColumn(key, checked).drop("_known")
+
+
+def backfill(sample: DataFrame, dates: DataFrame, column: str = "revision_date") -> DataFrame:
+    """sample with one column anew from dates (granule_id, column), empty where they have none; all else stays."""
+    new = dates.select("granule_id", F.col(column).cast("string").alias("_new"))
+    return sample.join(new, "granule_id", "left").withColumn(column, F.coalesce("_new", F.lit(""))).drop("_new")
+
+
+def recall(rows: DataFrame, memo: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with flag from a memo and remembered: a false that is on record is not the same as no record."""
+    return rows.join(memo.select(key, flag, F.lit(True).alias("remembered")), key, "left").withColumn("remembered", F.coalesce("remembered", F.lit(False)))

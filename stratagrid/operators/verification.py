@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from . import reports
 from .facts import ID
 
+SECTION = "heading string, completed boolean, lines array<string>"
+
 # What a refusal says if a criterion's claim is right.
 EXPECTED = {"H3": ["not evenly divisible", "partial chunk"], "H2": ["inconsistent chunk shapes"], "G": ["do not line up", "conflicting sizes", "cannot align"]}
 
@@ -80,4 +85,35 @@ def chunk_bytes(arrays: DataFrame) -> DataFrame:
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """Limited by keys before it is shuffled."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def consistent(arrays: DataFrame, n: int) -> DataFrame:
+    """(collection_id, name, gi, place): the first n granules that have an array's commonest chunk shape."""
+    same = arrays.join(modal_chunk(arrays).select(ID, "name", F.col("chunks").alias("_chunks")), [ID, "name"]).where(F.col("chunks").eqNullSafe(F.col("_chunks")))
+    return first_n(same, [ID, "name"], ["gi", "vi"], n).select(ID, "name", "gi")
+
+
+def best_pair(pairs: DataFrame) -> DataFrame:
+    """The pair with the most elements; of equals the first."""
+    return pairs.orderBy(F.desc("elements"), ID, "gi_a", "gi_b").limit(1)
+
+
+def section(spark: SparkSession, heading: str, check: Callable[[], DataFrame]) -> DataFrame:
+    """(heading, completed, lines): a check's rows as Markdown lines, or what it failed with. A check is a few rows."""
+    try:
+        found = check()
+        lines = [r.line for r in reports.markdown_rows(found, found.columns).collect()]
+        return spark.createDataFrame([(heading, True, [*reports.markdown_head(found.columns), *lines])], SECTION)
+    except Exception as e:  # a failed check is a row of the report
+        return spark.createDataFrame([(heading, False, [f"{type(e).__name__}: {e}"[-1200:]])], SECTION)
+
+
+def report(spark: SparkSession, checks: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """A section for each check, numbered in order."""
+    out = None
+    for i, (name, check) in enumerate(checks.items(), 1):
+        part = section(spark, f"{i}. {name}", check)
+        out = part if out is None else out.unionByName(part)
+    return out

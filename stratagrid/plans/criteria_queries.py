@@ -113,9 +113,10 @@ psz AS (SELECT collection_id, CASE WHEN n_opened = 0 OR st IS NULL THEN 'unmeasu
 G = """
 gt_f AS (SELECT collection_id, crs, arg_min(x0, granule_id) AS ox, count(DISTINCT x0) AS origins FROM arch_tiff GROUP BY ALL),
 gt_o AS (SELECT collection_id, crs, origins, bool_or(abs(x0 - ox - 30 * round_even((x0 - ox) / 30, 0)) >= 1e-6) AS off FROM arch_tiff JOIN gt_f USING (collection_id, crs) GROUP BY ALL),
-gt_d AS (SELECT collection_id, count(*) AS n, bool_or(crs = '') AS bare, min(crs) FILTER (off) AS bad, CAST(sum(origins) AS BIGINT) AS origins FROM gt_o GROUP BY collection_id),
-g_tiff AS (SELECT collection_id, CASE WHEN bare THEN 'unknown' WHEN bad IS NOT NULL THEN 'no' WHEN n > 1 OR origins > 1 THEN 'partial' ELSE 'yes' END AS status,
-           CASE WHEN bare THEN 'no projection named' WHEN bad IS NOT NULL THEN 'origins off the lattice in ' || bad ELSE n || ' projections, ' || origins || ' origins' END AS note FROM gt_d),
+gt_s AS (SELECT collection_id, count(DISTINCT coalesce(scale, '')) > 1 AS sizes FROM arch_tiff GROUP BY collection_id),
+gt_d AS (SELECT collection_id, any_value(sizes) AS sizes, count(*) AS n, bool_or(crs = '') AS bare, min(crs) FILTER (off) AS bad, CAST(sum(origins) AS BIGINT) AS origins FROM gt_o JOIN gt_s USING (collection_id) GROUP BY collection_id),
+g_tiff AS (SELECT collection_id, CASE WHEN sizes THEN 'no' WHEN bare THEN 'unknown' WHEN bad IS NOT NULL THEN 'no' WHEN n > 1 OR origins > 1 THEN 'partial' ELSE 'yes' END AS status,
+           CASE WHEN sizes THEN 'pixel sizes differ' WHEN bare THEN 'no projection named' WHEN bad IS NOT NULL THEN 'origins off the lattice in ' || bad ELSE n || ' projections, ' || origins || ' origins' END AS note FROM gt_d),
 ge_s AS (SELECT collection_id, name, rank, d0, d1, min(gi) AS seen FROM cv GROUP BY ALL),
 ge_r AS (SELECT *, row_number() OVER (PARTITION BY collection_id, name ORDER BY seen) AS k FROM ge_s),
 ge_p AS (SELECT a.collection_id, a.name, a.rank, a.d0 AS a0, a.d1 AS a1, b.d0 AS b0, b.d1 AS b1 FROM ge_r a JOIN ge_r b ON a.collection_id = b.collection_id AND a.name = b.name AND a.k = 1 AND b.k = 2),

@@ -61,7 +61,8 @@ FROM {part}""",
 SELECT c_custkey % 60 AS collection_id, c_custkey AS granule_id,
        CASE WHEN c_custkey % 60 = 7 AND c_custkey % 5 = 2 THEN '' WHEN c_custkey % 60 < 20 AND c_nationkey > 20 THEN 'EPSG:32611' ELSE 'EPSG:32610' END AS crs,
        CAST(300000 + CASE WHEN c_custkey % 60 < 40 THEN 30 * (c_nationkey % 3) WHEN c_custkey % 60 < 45 AND c_nationkey = 3 THEN 5 ELSE 0 END AS DOUBLE) AS x0,
-       CAST(900000 AS DOUBLE) AS y0, CAST(30 AS DOUBLE) AS px
+       CAST(900000 AS DOUBLE) AS y0, CAST(30 AS DOUBLE) AS px,
+       CASE WHEN c_custkey % 60 = 11 AND c_nationkey > 12 THEN '30x60' WHEN c_custkey % 60 = 12 AND c_nationkey > 12 THEN NULL ELSE '30x30' END AS scale
 FROM {customer}""",
     "arch_asset": """
 SELECT l_orderkey AS granule_id, o_custkey AS collection_id,

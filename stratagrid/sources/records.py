@@ -35,6 +35,11 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=INVENTORY, dateFormat="yyyy-MM-dd")
 
 
+def written_on(spark: SparkSession, path: str) -> DataFrame:
+    """(written_on): the day on which the newest file under path was written, in the session's time zone."""
+    return spark.read.format("binaryFile").load(path).agg(F.date_format(F.max("modificationTime"), "yyyy-MM-dd").alias("written_on"))
+
+
 def probes(spark: SparkSession, path: str) -> DataFrame:
     """One row for each collection's file; path may be a folder or a glob."""
     return spark.read.schema(PROBES).option("multiLine", True).json(path)
@@ -65,7 +70,7 @@ def tiles(g: DataFrame) -> DataFrame:
     t = g.where("ok AND tiff_grid IS NOT NULL")
     tied = F.size("tiff_grid.tiepoint") >= 5
     at = lambda i: F.when(tied, F.get("tiff_grid.tiepoint", F.lit(i)))
-    return t.select("collection_id", "granule_id", "gi", F.col("tiff_grid.crs").alias("crs"), at(3).alias("x0"), at(4).alias("y0"), F.get("tiff_grid.pixel_scale", F.lit(0)).alias("px"))
+    return t.select("collection_id", "granule_id", "gi", F.col("tiff_grid.crs").alias("crs"), at(3).alias("x0"), at(4).alias("y0"), F.get("tiff_grid.pixel_scale", F.lit(0)).alias("px"), F.col("tiff_grid.pixel_scale").alias("scale"))
 
 
 def block_statistics(g: DataFrame) -> DataFrame:
