@@ -37,6 +37,8 @@ SEED = 3
 STEP = 5
 SUBTREE = 1 << 20
 FLUSH_BYTES = 24 << 20
+#: Bytes of text routed at once; their segments are about three times as long, and are gathered by 64-bit places.
+SLICE = 1 << 20
 #: Entries of a task's tables of seeds and of texts seen, at most.
 TABLE = 1 << 21
 SEEN = 100_000
@@ -131,7 +133,7 @@ def _route(window: int, heavy: np.ndarray, bins: int):
         if not held:
             return
         bin_, k1, k2, pos, size, lengths = (np.concatenate([x[i] for x in held]) for i in range(6))
-        body = np.concatenate([x[6] for x in held])
+        body = np.concatenate([x.pop() for x in held])
         order = np.argsort(bin_, kind="stable")
         begin = np.cumsum(lengths) - lengths
         edges = np.flatnonzero(np.append(True, np.diff(bin_[order]) != 0))
@@ -150,7 +152,7 @@ def _route(window: int, heavy: np.ndarray, bins: int):
         for b in batches:
             k1, k2 = (b.column(k).to_numpy() for k in shared.KEY)
             fresh = seen.fresh(k1, k2)
-            for i, j, buf, off in tx.slices(b.column("text")):
+            for i, j, buf, off in tx.slices(b.column("text"), SLICE):
                 buf, off = tx.canonical(buf, off)
                 starts, ends, ptr, at, doc, least = _suffixes(buf, off, window)
                 keep = fresh[i:j][doc]
@@ -162,7 +164,7 @@ def _route(window: int, heavy: np.ndarray, bins: int):
                 first, size = _runs(least, doc, at)
                 lo, hi = starts[at[first]], ends[at[first] + size + window - 2]
                 place = (tx.mix(least[first] ^ tx.U64(0x77)) % tx.U64(bins)).astype(np.int64)
-                held.append((place, k1[i:j][doc[first]], k2[i:j][doc[first]], at[first] - ptr[doc[first]], size, hi - lo, buf[tx.ragged(lo, hi - lo)]))
+                held.append([place, k1[i:j][doc[first]], k2[i:j][doc[first]], at[first] - ptr[doc[first]], size, hi - lo, buf[tx.ragged(lo, hi - lo)]])
                 n += len(held[-1][6])
                 if n >= FLUSH_BYTES:
                     yield from pack(held)

@@ -161,7 +161,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
-    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(total)
+    return out
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
