@@ -53,7 +53,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     should fit a row.
     """
     spark = docs.sparkSession
-    w = shared.materialise(benchmark_windows(items, item_id, item_text, window).withColumn("wid", F.xxhash64(F.array_join("w", " "))).withColumn("wid2", F.xxhash64(F.lit("window"), F.array_join("w", " "))), "windows")
+    files = shared.parts(items.count(), 5_000, least=2)  # of the tables about the benchmark
+    w = shared.materialise(benchmark_windows(items, item_id, item_text, window).withColumn("wid", F.xxhash64(F.array_join("w", " "))).withColumn("wid2", F.xxhash64(F.lit("window"), F.array_join("w", " "))), "windows", files)
     places = w.select("wid", F.posexplode("w").alias("off", "term"))
     n_places, n_bytes = w.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)), F.coalesce(F.sum(F.size("w") * F.lit(48) + F.octet_length(F.array_join("w", " ")) + F.octet_length(F.array_join("items", "  "))), F.lit(0))).head()
     small = F.broadcast if n_places <= broadcast_rows and n_bytes <= BROADCAST_BYTES else (lambda x: x)
@@ -62,7 +63,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     # a word that no text has makes its window impossible; it is its rarest, with no postings
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "off")))
     named = places.join(counts, "term", "left").groupBy("wid").agg(order.alias("p")).select("wid", F.col("p")[0].alias("first"), F.get("p", F.lit(1)).alias("second"))
-    named = shared.materialise(named.where("first.n > 0"), "rarest")
+    named = shared.materialise(named.where("first.n > 0"), "rarest", files)
     terms = named.select(F.col("first.term").alias("term")).union(named.select("second.term").where("second IS NOT NULL")).distinct()
     index = shared.materialise(postings(rows, small(terms)).distinct(), "postings")
 
