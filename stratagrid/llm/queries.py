@@ -37,19 +37,15 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", "n_near")
 
 
-def quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored ledger of all documents: policies and ablations read it, and not the texts."""
-    return shared.materialise(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger")
-
-
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = quality_ledger(spark, sf_dir)
+    held = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return held.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"), "failures", F.lit("v1").alias("policy"))
 
 
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of policy v1 removes, with the others and alone, from the stored ledger."""
-    return quality_rules.ablation(quality_ledger(spark, sf_dir), "v1")
+    held = shared.materialise(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    return quality_rules.ablation(held, "v1")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
