@@ -72,8 +72,8 @@ def hot_keys(counted: DataFrame, keys: list[str]) -> DataFrame | None:
     At most HOT_KEYS rows, whatever the table: any other key has under a thousandth of all rows.
     """
     top = counted.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys, F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(HOT_WAYS)).cast("int").alias("ways"))
-    found = top.collect()
-    return counted.sparkSession.createDataFrame(found, top.schema) if found else None
+    found = materialise(top, "hot-keys")
+    return found if found.head(1) else None
 
 
 def join_spread(rows: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "left") -> DataFrame:
