@@ -25,6 +25,21 @@ def say(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
+CF_KEYS = ["scale_factor", "add_offset", "_FillValue", "units"]
+
+
+def properties() -> dict[str, Column]:
+    """What an array's records are compared by, as text; a null says nothing."""
+    chunk = F.col("chunk")
+    return {
+        "chunk shape": say("[", F.array_join(F.transform(chunk, lambda c: c.cast("string")), ", "), "]"),
+        "whole": (chunk == F.col("shape")).cast("string"),
+        "dtype": F.col("dtype"),
+        "codec chain": F.when(F.size(s.codecs_of(F.col("codecs"))) > 0, F.array_join("codecs", "+")),
+        **{key: s.cf_value(F.element_at("cf", key), key) for key in CF_KEYS},
+    }
+
+
 @dataclass
 class Archive:
     """granules and arrays as in facts; the others only for the criteria that need them.
@@ -65,11 +80,19 @@ class Archive:
         """Records of comparable arrays, with their rank."""
         return self.records.join(self.comparable.select(ID, "name", "rank"), [ID, "name"])
 
+    def values_of(self, *names: str) -> DataFrame:
+        """facts.property_values of the named properties: of the stored ones, or made of nothing else."""
+        if "values" in self.__dict__:
+            return self.__dict__["values"].where(F.col("property").isin(*names))
+        every = properties()
+        return facts.property_values(self.compared, {n: every[n] for n in names})
+
     def settle(self, write: Callable[[DataFrame, str], DataFrame]) -> Archive:
         """Facts that many criteria read, each computed once: write(table, name) stores a table and returns it as stored."""
         self.granules, self.arrays = write(self.granules, "granules"), write(self.arrays, "arrays")
         for name in ("counts", "ranks", "compared"):
             self.__dict__[name] = write(getattr(self, name), name)
+        self.__dict__["values"] = write(facts.property_values(self.compared, properties()), "values")
         return self
 
     def every(self, found: DataFrame, status: Column, note: Column) -> DataFrame:
@@ -100,9 +123,9 @@ def h0_parse(a: Archive) -> DataFrame:
     return a.every(found, status, note)
 
 
-def _agreement(a: Archive, records: DataFrame, value: Column, what: str, empty: str) -> DataFrame:
+def _agreement(a: Archive, what: str, empty: str, least: int = 1) -> DataFrame:
     twice = a.comparable.groupBy(ID).agg(F.count("*").alias("twice"))
-    found = twice.join(facts.disagreement(records, a.ranks, value, what), ID, "left")
+    found = twice.join(facts.disagreement(a.values_of(what).where(F.col("n") >= least), what), ID, "left")
     k, m = F.col("k"), F.col("m")
     status = F.when((F.col("n_opened") == 0) | m.isNull(), "unmeasured").when(k == 0, "yes").when(F.col("first_differs"), "no").otherwise("partial")
     note = F.when(F.col("n_opened") == 0, NOT_OPENED).when(F.col("twice").isNull(), NOT_TWICE).when(m.isNull(), empty).when(k == 0, say(f"one {what} in each of ", m, " variables")).otherwise(F.col("note"))
@@ -111,10 +134,10 @@ def _agreement(a: Archive, records: DataFrame, value: Column, what: str, empty:
 
 def h2_chunks(a: Archive, grid: DataFrame | None = None) -> DataFrame:
     """Is each array's chunk shape the same in all granules? One whole-array chunk needs a shared grid besides."""
-    base = _agreement(a, a.compared, say("[", F.array_join(F.transform("chunk", lambda c: c.cast("string")), ", "), "]"), "chunk shape", NOT_TWICE)
+    base = _agreement(a, "chunk shape", NOT_TWICE)
     if grid is None:
         return base
-    lead = a.compared.groupBy(ID, "rank").agg(F.bool_and(F.col("chunk") == F.col("shape")).alias("whole")).groupBy(ID).agg(F.min_by("whole", "rank").alias("whole"))
+    lead = a.values_of("whole").groupBy(ID).agg(F.min_by(F.col("values") == F.array(F.lit("true")), "rank").alias("whole"))
     both = base.join(lead, ID, "left").join(grid.select(ID, F.col("status").alias("grid")), ID, "left")
     unsafe = (F.col("status") == "yes") & F.coalesce("whole", F.lit(False)) & (F.coalesce("grid", F.lit("unmeasured")) != "yes")
     why = F.when(F.col("grid") == "no", "without a grid their length may vary").otherwise("whether a grid fixes their length is not known")
@@ -122,14 +145,12 @@ def h2_chunks(a: Archive, grid: DataFrame | None = None) -> DataFrame:
 
 
 def h4_dtypes(a: Archive) -> DataFrame:
-    return _agreement(a, a.compared, F.col("dtype"), "dtype", NOT_TWICE)
+    return _agreement(a, "dtype", NOT_TWICE)
 
 
 def h5_codecs(a: Archive) -> DataFrame:
     """Chains that were not recorded say nothing: an array needs two recorded ones."""
-    recorded = a.compared.where(F.size(s.codecs_of(F.col("codecs"))) > 0)
-    twice = recorded.groupBy(ID, "name").agg(F.count("*").alias("n")).where("n >= 2").select(ID, "name")
-    return _agreement(a, recorded.join(twice, [ID, "name"]), F.array_join("codecs", "+"), "codec chain", "no codec chain in two granules of one array")
+    return _agreement(a, "codec chain", "no codec chain in two granules of one array", least=2)
 
 
 def h3_concat(a: Archive) -> DataFrame:
@@ -172,14 +193,10 @@ def v_coverage(a: Archive) -> DataFrame:
     return a.every(found, status, note)
 
 
-CF_KEYS = ["scale_factor", "add_offset", "_FillValue", "units"]
-
-
 def s1_cf(a: Archive) -> DataFrame:
     """Do the attributes agree that decide what a decoder computes, or at least what it is called?"""
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.lit(key).alias("key"), s.cf_value(F.element_at("cf", key), key).alias("value")) for i, key in enumerate(CF_KEYS))))
-    values = facts.distinct_in_order(a.compared.select(ID, "name", "rank", "gi", "vi", each.alias("e")).select(ID, "name", "rank", "gi", "vi", "e.*"), [ID, "name", "rank", "k", "key"], "value").where(F.size("values") > 1)
-    first = F.struct("rank", "k", say(F.col("name"), ".", F.col("key"), ": ", F.array_join("values", " vs ")).alias("text"))
+    values = a.values_of(*CF_KEYS).where(F.size("values") > 1).withColumn("k", F.array_position(F.array(*map(F.lit, CF_KEYS)), F.col("property")) - 1)
+    first = F.struct("rank", "k", say(F.col("name"), ".", F.col("property"), ": ", F.array_join("values", " vs ")).alias("text"))
     found = values.groupBy(ID).agg(F.min(F.when(F.col("k") < 3, first)).alias("decoding"), F.min(F.when(F.col("k") == 3, first)).alias("labelling"))
     clock = a.arrays.where(s.time_named(s.leaf(F.col("name"))) & ~s.is_metadata(F.col("name"))).withColumn("units", F.element_at("cf", "units")).where("units IS NOT NULL")
     epochs = clock.groupBy(ID, "name").agg(F.count_distinct("units").alias("n"), F.min("units").alias("lo"), F.max("units").alias("hi")).where("n > 1").groupBy(ID).agg(F.min(F.struct("name", "n", "lo", "hi")).alias("epoch"))

@@ -53,13 +53,27 @@ def distinct_in_order(values: DataFrame, keys: list[str], value: str) -> DataFra
     return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", F.col(value).alias("value")))), lambda x: x["value"]).alias("values"))
 
 
-def disagreement(records: DataFrame, ranks: DataFrame, value: Column, what: str) -> DataFrame:
+def property_values(records: DataFrame, properties: dict[str, Column]) -> DataFrame:
+    """(collection_id, name, rank, property, values, n): an array's distinct values of each property in the order in which they
+    were first seen, over n records. A null says nothing: neither a value nor a record.
+
+    Records are summed by all properties at once, map-side first; only the few kinds of an array are dealt by property. A place
+    is one long of gi and vi (a granule has under 2^24 arrays), so that sums are by hash and need no sort.
+    """
+    place = F.shiftleft(F.col("gi").cast("long"), 24) + F.col("vi")
+    kinds = records.groupBy(ID, "name", "rank", *(p.alias(f"_{i}") for i, p in enumerate(properties.values()))).agg(F.min(place).alias("seen"), F.count("*").alias("n"))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("property"), F.col(f"_{i}").alias("value")) for i, name in enumerate(properties))))
+    dealt = kinds.select(ID, "name", "rank", "seen", "n", each.alias("e")).where("e.value IS NOT NULL")
+    first = dealt.groupBy(ID, "name", "rank", "e.property", "e.value").agg(F.min("seen").alias("seen"), F.sum("n").alias("n"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("seen", "value"))), lambda x: x["value"])
+    return first.groupBy(ID, "name", "rank", "property").agg(in_order.alias("values"), F.sum("n").alias("n"))
+
+
+def disagreement(values: DataFrame, what: str) -> DataFrame:
     """(collection_id, m, k, first_name, first_differs, note): arrays compared, those with two values or more, and evidence.
 
-    records: of the compared arrays; value: text to compare; ranks: (collection_id, name, rank). The first array is the
-    one of least rank, and the worst is the first that differs.
+    values: one property's property_values. The first array is the one of least rank, and the worst is the first that differs.
     """
-    values = distinct_in_order(records.withColumn("_v", value), [ID, "name"], "_v").join(ranks.select(ID, "name", "rank"), [ID, "name"])
     off = F.size("values") > 1
     worst = F.min(F.when(off, F.struct("rank", "name", "values")))
     out = values.groupBy(ID).agg(F.count("*").alias("m"), F.count_if(off).alias("k"), F.min(F.struct("rank", "name", off.alias("off"))).alias("lead"), worst.alias("worst"))

@@ -60,10 +60,10 @@ def coordinate_grid(coords: DataFrame) -> DataFrame:
     lead = c.groupBy(ID, "name").agg(F.min_by("o", F.struct("gi", "granule_id")).alias("o0"), F.min_by("st", F.struct("gi", "granule_id")).alias("st0"))
     cells = F.abs(F.try_divide(F.col("o") - F.col("o0"), F.col("st0")))
     part = c.join(lead, [ID, "name"]).groupBy(ID, "name").agg(
-        F.count("*").alias("records"), F.count_distinct("st").alias("steps"), F.count_distinct("n").alias("lengths"), F.count_distinct("o").alias("origins"),
+        F.count("*").alias("records"), *((F.min(v) != F.max(v)).alias(name) for v, name in (("st", "steps"), ("n", "lengths"), ("o", "origins"))),
         F.bool_and(F.coalesce(F.abs(cells - F.rint(cells)) < 1e-4, F.lit(False))).alias("whole"),
     )
-    kind = F.when(F.col("records") < 2, None).when(F.col("steps") > 1, "spacing").when(F.col("lengths") > 1, "length").when(F.col("origins") > 1, F.when(F.col("whole"), "whole cells").otherwise("part of a cell"))
+    kind = F.when(F.col("records") < 2, None).when(F.col("steps"), "spacing").when(F.col("lengths"), "length").when(F.col("origins"), F.when(F.col("whole"), "whole cells").otherwise("part of a cell"))
     found = part.withColumn("kind", kind).groupBy(ID).agg(F.max("records").alias("records"), F.min(F.when(F.col("kind").isNotNull(), F.struct("name", "kind"))).alias("first"), F.bool_and(F.when(F.col("kind").isNotNull(), F.col("kind") == "whole cells")).alias("shifted"))
     r, x = F.col("records"), F.col("first")
     status = F.when(r < 2, "unknown").when(x.isNull(), "yes").when(F.col("shifted"), "partial").otherwise("no")
