@@ -225,8 +225,13 @@ def timestamp_token(t: Column) -> Column:
     return (F.length(F.regexp_replace(t, r"\D", "")) >= TIMESTAMP_DIGITS) | integer
 
 
+def content_of(tokens: Column) -> Column:
+    """The distinct tokens of a name that are no timestamps."""
+    return F.array_distinct(F.filter(tokens, lambda t: ~timestamp_token(t)))
+
+
 def content_tokens(url: Column) -> Column:
-    return F.array_distinct(F.filter(name_tokens(url), lambda t: ~timestamp_token(t)))
+    return content_of(name_tokens(url))
 
 
 def glob_like(pattern: Column) -> Column:

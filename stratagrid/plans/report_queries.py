@@ -66,7 +66,8 @@ k AS (SELECT *, list_distinct(list_filter(toks, lambda t: NOT (length(regexp_rep
 @query(NAMES + ", f AS (SELECT url, string_split(string_split(url, '/')[-1], '?')[1] AS filename, array_to_string(toks, ' ') AS tokens, array_to_string(list_sort(content), ' ') AS content FROM k) SELECT * FROM f")
 def name_tokens(spark: SparkSession, d: str) -> DataFrame:
     a, u = view(spark, d, "arch_asset"), c("url")
-    return a.select("url", s.filename_of(u).alias("filename"), F.array_join(s.name_tokens(u), " ").alias("tokens"), F.array_join(F.array_sort(s.content_tokens(u)), " ").alias("content"))
+    cut = a.select("url", s.filename_of(u).alias("filename"), s.name_tokens(u).alias("tokens"))
+    return cut.select("url", "filename", F.array_join("tokens", " ").alias("tokens"), F.array_join(F.array_sort(s.content_of(c("tokens"))), " ").alias("content"))
 
 
 @query("SELECT page_id, string_split(string_split(url, '/')[-1], '?')[1] AS filename, substring(sha256(url), 1, 32) AS url_key FROM pages")
