@@ -267,7 +267,7 @@ def psz_chunks(a: Archive) -> DataFrame:
     """Is a request worth its latency?"""
     m, n = F.col("stored"), F.col("n_chunks")
     status = F.when((F.col("n_opened") == 0) | m.isNull(), "unmeasured").when(m >= 500_000, "yes").when(m >= 50_000, "partial").when(n <= 4, "yes").otherwise("no")
-    text = say(F.col("principal"), ": median chunk ", F.bround(m / 1e6, 3), " MB in ", F.rint(n).cast("long"), " chunks")
+    text = say(F.col("principal"), ": median chunk ", F.rint(m / 1e6 * 1000) / 1000, " MB in ", F.rint(n).cast("long"), " chunks")
     note = F.when(F.col("n_opened") == 0, NOT_OPENED).when(F.col("principal").isNull(), "no data array recorded").when(m.isNull(), say(F.col("principal"), ": no possible chunk length")).when(m >= 50_000, text).when(n <= 4, say(text, "; a few requests read it whole")).otherwise(say(text, "; bound by latency"))
     return a.every(principal_chunks(a), status, note)
 
