@@ -32,8 +32,7 @@ def properties() -> dict[str, Column]:
     """What an array's records are compared by, as text; a null says nothing."""
     chunk = F.col("chunk")
     return {
-        "chunk shape": say("[", F.array_join(F.transform(chunk, lambda c: c.cast("string")), ", "), "]"),
-        "whole": (chunk == F.col("shape")).cast("string"),
+        "chunk shape": say("[", F.array_join(chunk.cast("array<string>"), ", "), "]"),
         "dtype": F.col("dtype"),
         "codec chain": F.when(F.size(s.codecs_of(F.col("codecs"))) > 0, F.array_join("codecs", "+")),
         **{key: s.cf_value(F.element_at("cf", key), key) for key in CF_KEYS},
@@ -47,7 +46,7 @@ class Archive:
     coords: (collection_id, granule_id, gi, name, first_v, step_v, n); tiffs: (collection_id, granule_id, gi, crs, x0, y0,
     px), x0 null without a tiepoint; locality: (collection_id, granule_id, n_blocks, runs, leading); levels: (collection_id,
     level); attributes: (collection_id, key, value) of grid attributes; materialised: (collection_id, gi, dataset_ok,
-    datatree_ok, error).
+    datatree_ok, error). arrays_of makes arrays of granules, where those are read to make them.
     """
 
     granules: DataFrame
@@ -58,6 +57,7 @@ class Archive:
     levels: DataFrame | None = None
     attributes: DataFrame | None = None
     materialised: DataFrame | None = None
+    arrays_of: Callable[[DataFrame], DataFrame] | None = None
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -67,32 +67,41 @@ class Archive:
     def records(self) -> DataFrame:
         return facts.science_records(self.arrays)
 
+    @cached_property
+    def sums(self) -> DataFrame:
+        """facts.summed over all properties, and over shapes."""
+        return facts.summed(self.records, properties() | {"shape": F.col("shape")})
+
     @cached_property
     def ranks(self) -> DataFrame:
-        return facts.ranked(self.records)
+        return self.sums.select(ID, "name", "bytes", "n_records", "rank")
 
     @cached_property
     def comparable(self) -> DataFrame:
         return facts.comparable(self.ranks)
 
     @cached_property
-    def compared(self) -> DataFrame:
-        """Records of comparable arrays, with their rank."""
-        return self.records.join(self.comparable.select(ID, "name", "rank"), [ID, "name"])
+    def kinds(self) -> DataFrame:
+        return facts.shape_kinds(self.records)
 
     def values_of(self, *names: str) -> DataFrame:
-        """facts.property_values of the named properties: of the stored ones, or made of nothing else."""
+        """facts.values_of the named properties, where they first differ: the stored ones, or made of nothing else."""
         if "values" in self.__dict__:
             return self.__dict__["values"].where(F.col("property").isin(*names))
         every = properties()
-        return facts.property_values(self.compared, {n: every[n] for n in names})
+        return facts.values_of(self.records, facts.first_differing(self.sums, list(names)), {n: every[n] for n in names})
 
     def settle(self, write: Callable[[DataFrame, str], DataFrame]) -> Archive:
-        """Facts that many criteria read, each computed once: write(table, name) stores a table and returns it as stored."""
-        self.granules, self.arrays = write(self.granules, "granules"), write(self.arrays, "arrays")
-        for name in ("counts", "ranks", "compared"):
+        """Facts that many criteria read, each computed once: write(table, name) stores a table and returns it as stored.
+
+        Arrays lie by collection, one of very many records in several parts, so that sums before a shuffle leave little of them.
+        """
+        self.granules = write(self.granules, "granules")
+        arrays = self.arrays if self.arrays_of is None else self.arrays_of(self.granules)
+        self.arrays = write(facts.described(arrays).hint("rebalance", ID), "arrays")
+        for name in ("counts", "sums", "kinds"):
             self.__dict__[name] = write(getattr(self, name), name)
-        self.__dict__["values"] = write(facts.property_values(self.compared, properties()), "values")
+        self.__dict__["values"] = write(self.values_of(*properties()), "values")
         return self
 
     def every(self, found: DataFrame, status: Column, note: Column) -> DataFrame:
@@ -124,8 +133,11 @@ def h0_parse(a: Archive) -> DataFrame:
 
 
 def _agreement(a: Archive, what: str, empty: str, least: int = 1) -> DataFrame:
-    twice = a.comparable.groupBy(ID).agg(F.count("*").alias("twice"))
-    found = twice.join(facts.disagreement(a.values_of(what).where(F.col("n") >= least), what), ID, "left")
+    n, off = F.col("n")[what], F.col("differs")[what]
+    sums = a.sums.where("n_records >= 2").groupBy(ID).agg(F.count("*").alias("twice"), F.count_if(n >= least).alias("m"), F.count_if((n >= least) & off).alias("k"), F.min(F.when(n >= least, F.struct("rank", off.alias("off")))).alias("lead"))
+    worst = a.values_of(what).select(ID, say(F.col("name"), " ", F.array_join("values", " vs ")).alias("worst"))
+    shown = say(f"{what} differs in ", F.col("k"), " of ", F.col("m"), " variables: ", F.col("worst"))
+    found = sums.join(worst, ID, "left").select(ID, "twice", F.when(F.col("m") > 0, F.col("m")).alias("m"), "k", F.col("lead.off").alias("first_differs"), shown.alias("note"))
     k, m = F.col("k"), F.col("m")
     status = F.when((F.col("n_opened") == 0) | m.isNull(), "unmeasured").when(k == 0, "yes").when(F.col("first_differs"), "no").otherwise("partial")
     note = F.when(F.col("n_opened") == 0, NOT_OPENED).when(F.col("twice").isNull(), NOT_TWICE).when(m.isNull(), empty).when(k == 0, say(f"one {what} in each of ", m, " variables")).otherwise(F.col("note"))
@@ -137,7 +149,7 @@ def h2_chunks(a: Archive, grid: DataFrame | None = None) -> DataFrame:
     base = _agreement(a, "chunk shape", NOT_TWICE)
     if grid is None:
         return base
-    lead = a.values_of("whole").groupBy(ID).agg(F.min_by(F.col("values") == F.array(F.lit("true")), "rank").alias("whole"))
+    lead = a.sums.where("n_records >= 2 AND whole IS NOT NULL").groupBy(ID).agg(F.min(F.struct("rank", "whole")).alias("lead")).select(ID, F.col("lead.whole").alias("whole"))
     both = base.join(lead, ID, "left").join(grid.select(ID, F.col("status").alias("grid")), ID, "left")
     unsafe = (F.col("status") == "yes") & F.coalesce("whole", F.lit(False)) & (F.coalesce("grid", F.lit("unmeasured")) != "yes")
     why = F.when(F.col("grid") == "no", "without a grid their length may vary").otherwise("whether a grid fixes their length is not known")
@@ -155,11 +167,11 @@ def h5_codecs(a: Archive) -> DataFrame:
 
 def h3_concat(a: Archive) -> DataFrame:
     """Can granules be laid end to end without a partial chunk inside?"""
-    stable = a.compared.groupBy(ID, "name").agg(F.count_distinct("chunk").alias("c"), F.min(F.size("shape")).alias("lo"), F.max(F.size("shape")).alias("hi"), F.max(F.size("chunk")).alias("dims"))
-    stable = stable.where("c = 1 AND lo > 0 AND lo = hi AND dims = lo").select(ID, "name")
-    cells = a.compared.join(stable, [ID, "name"]).select(ID, "name", "rank", "gi", "vi", F.posexplode(F.arrays_zip("shape", "chunk")).alias("axis", "z")).select(ID, "name", "rank", "gi", "vi", "axis", F.col("z.shape").alias("len"), F.col("z.chunk").alias("size"))
+    stable = a.sums.where(F.expr("n_records >= 2 AND lo > 0 AND lo = hi AND dims = lo AND differs.shape") & ~F.col("differs")["chunk shape"]).select(ID, "name", "rank")
+    cells = a.kinds.select(ID, "name", "chunk", "n", "seen", F.posexplode("shape").alias("axis", "len")).select(ID, "name", "axis", "len", F.get("chunk", F.col("axis")).alias("size"), "n", "seen")
+    lens = cells.groupBy(ID, "name", "axis", "len", "size").agg(F.sum("n").alias("n"), F.min("seen").alias("seen")).join(stable, [ID, "name"])
     off = F.coalesce(F.try_mod("len", "size") != 0, F.lit(False))
-    axes = cells.groupBy(ID, "name", "rank", "axis").agg(F.count_distinct("len").alias("lens"), F.count_if(off).alias("off"), F.min(F.when(off, F.struct("gi", "vi", "len", "size"))).alias("first"))
+    axes = lens.groupBy(ID, "name", "rank", "axis").agg(F.count("*").alias("lens"), F.sum(F.when(off, F.col("n")).otherwise(0)).alias("off"), F.min(F.when(off, F.struct("seen", "len", "size"))).alias("first"))
     moving = F.col("lens") > 1
     names = axes.groupBy(ID, "name", "rank").agg(F.count_if(moving).alias("vary"), F.max(F.when(moving, F.col("off"))).alias("off"), F.min(F.when(moving, F.struct("axis", "first"))).alias("at"))
     kind = F.when(F.col("vary") >= 2, 1).when((F.col("vary") == 1) & (F.col("off") >= 2), 2).when((F.col("vary") == 1) & (F.col("off") == 1), 3)
@@ -224,7 +236,8 @@ def shared_dims(a: Archive) -> DataFrame:
 def t_time(a: Archive) -> DataFrame:
     """Is time a dimension that arrays share?"""
     dims = shared_dims(a)
-    declared = a.arrays.groupBy(ID).agg(F.count("dims").alias("n_dimmed"), F.min(F.when(s.time_named(F.col("name")), F.lower("name"))).alias("variable"))
+    named = a.arrays.groupBy(ID, "name").agg(F.count("dims").alias("n"))
+    declared = named.groupBy(ID).agg(F.sum("n").alias("n_dimmed"), F.min(F.when(s.time_named(F.col("name")), F.lower("name"))).alias("variable"))
     timed = s.time_named(F.col("dim"))
     found = dims.join(declared.select(ID, "n_dimmed"), ID).groupBy(ID).agg(
         F.min(F.when(timed & ((F.col("n_arrays") >= 2) | (F.col("n_dimmed") <= 1)), F.col("dim"))).alias("shared"),

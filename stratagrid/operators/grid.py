@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from . import facts
 from .criteria import NOT_OPENED, Archive, say
 from .facts import ID
 
@@ -41,10 +40,12 @@ def tiff_lattice(tiffs: DataFrame) -> DataFrame:
 
 def varying_extent(a: Archive) -> DataFrame:
     """(collection_id, status no, note) where an array's first two shapes differ by whole factors: mixed resolutions."""
-    shapes = facts.distinct_in_order(a.compared, [ID, "name", "rank"], "shape").where(F.size("values") >= 2)
+    varied = a.sums.where("n_records >= 2 AND differs.shape AND lo = hi").select(ID, "name", "rank")
+    kinds = a.kinds.groupBy(ID, "name", "shape").agg(F.min("seen").alias("seen")).join(varied, [ID, "name"])
+    order = Window.partitionBy(ID, "name").orderBy("seen")
+    first_two = kinds.withColumn("_r", F.row_number().over(order)).where("_r <= 2").groupBy(ID, "name", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "shape"))), lambda x: x["shape"]).alias("values"))
     ratio = F.filter(F.zip_with(F.col("values")[0], F.col("values")[1], lambda x, y: F.when((F.least(x, y) > 0) & (x != y), F.greatest(x, y) / F.least(x, y))), lambda r: r.isNotNull())
-    same_rank = F.size(F.array_distinct(F.transform("values", lambda v: F.size(v)))) == 1
-    shapes = shapes.where(same_rank).withColumn("ratio", ratio)
+    shapes = first_two.where(F.size("values") == 2).withColumn("ratio", ratio)
     hit = shapes.where((F.size("ratio") > 0) & F.forall("ratio", lambda r: (F.abs(r - F.rint(r)) < 1e-9) & (r >= 2)))
     first = hit.join(a.counts.where("n_opened >= 2").select(ID), ID).groupBy(ID).agg(F.min(F.struct("rank", "name", "values")).alias("x"))
     return first.select(ID, F.lit("no").alias("status"), say(F.col("x.name"), " has shapes ", s.shape_text(F.col("x.values")[0]), " and ", s.shape_text(F.col("x.values")[1])).alias("note"))

@@ -234,7 +234,7 @@ def h2_chunk_shape(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_verdict_sql("h2", G + "," + H2))
 def h2_with_grid(spark: SparkSession, d: str) -> DataFrame:
-    a = archive(spark, d, whole=True)
+    a = archive(spark, d, whole=True).settle(settled)
     return criteria.h2_chunks(a, grid.grid_verdict(a))
 
 

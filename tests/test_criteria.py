@@ -173,3 +173,15 @@ def test_end_to_end(spark):
     assert got["codec"].blocker.startswith("H5: codec chain differs")
     shuffled = {r.collection_id: r for r in assessment.assess(docs.repartition(5)).collect()}
     assert shuffled == got
+
+
+def test_sums_of_an_array_are_one_row_each(spark):
+    """Facts that agree are told from sums of fixed size; texts are made only for the arrays that a note names."""
+    a, b, c = pvar("v", dtype="float64"), pvar("v", dtype="float32", codecs=[]), pvar("w", chunks=[4, 20])
+    ar = archive(spark, {"x": [probe(a, c), probe(b, pvar("w")), probe(a, c, pvar("once"))], "y": [probe(pvar("v")), probe(pvar("v"))]})
+    sums = {(r.collection_id, r.name): r for r in ar.sums.collect()}
+    v = sums["x", "v"]
+    assert (v.n_records, v.rank, v.n["codec chain"], v.differs["dtype"], v.differs["codec chain"], v.differs["chunk shape"]) == (3, 1, 2, True, False, False)
+    assert sums["x", "w"].differs["chunk shape"] and not any(sums["y", "v"].differs)
+    got = {(r.collection_id, r.property, r.name): r["values"] for r in ar.values_of(*criteria.properties()).collect()}
+    assert got == {("x", "dtype", "v"): ["float64", "float32"], ("x", "chunk shape", "w"): ["[4, 20]", "[5, 20]"]}
