@@ -168,3 +168,17 @@ def test_streaming_ingest_adds_once(spark, tmp_path):
         if more:
             put("2.json", more)
     assert Counter((r.collection_id, r.digest) for r in spark.read.parquet(table).collect()) == {("a", "1"): 1, ("b", "1"): 1, ("a", "2"): 1}
+
+
+def test_pairs_are_judged_in_their_row(spark):
+    """Neither pairs by array nor a second sum of them: one join of granules, whose rows have their arrays."""
+    rows = [("x", gi, 0, name, shape, chunks) for gi, name, shape, chunks in [
+        (1, "a", [4, 4], [2, 2]), (1, "b", [8, 4], [2, 2]), (2, "a", [4, 4], [1, 4]), (2, "b", [8, 4], [4, 4]),  # both differ: the larger
+        (3, "a", [4, 4], [2, 2]), (3, "b", [9, 4], [4, 4]),  # another shape
+        (4, "a", [4, 4], []), (4, "z", [1, 1], [1, 1]),  # a contiguous one says nothing
+    ]]
+    a = spark.createDataFrame([*rows, (None, 1, 0, "a", [4, 4], [2, 2]), (None, 2, 0, "a", [4, 4], [1, 4])], "collection_id string, gi bigint, vi bigint, name string, shape array<bigint>, chunks array<bigint>")
+    found = verification.chunk_only_pairs(a)
+    assert [tuple(r) for r in found.collect()] == [("x", 1, 2, "b", 32)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.index("Join") < plan.index("Aggregate")
