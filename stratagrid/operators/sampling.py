@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +53,18 @@ def opposite_orbit(granules: DataFrame, picked: DataFrame) -> DataFrame:
     return other.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= PER_END).drop("_r", "_k", "seen")
 
 
-def sample(granules: DataFrame, revision: str = "revision_date") -> DataFrame:
-    """All draws of a collection without a partition, each granule once, with its place gi in (begin_time, id) order."""
+def sample(granules: DataFrame, revision: str = "revision_date", write: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """All draws of a collection without a partition, each granule once, with its place gi in (begin_time, id) order.
+
+    write(table, name) stores a table: granules and what was picked are read several times, and each reading is else a dozen
+    sorts more that one task of the last stage holds side by side.
+    """
+    kept = write or (lambda df, _: df)
+    granules = kept(granules, "granules")
     cols = granules.columns
     ends = first_and_last(granules, "begin_time", PER_END).select(cols)
     picked = ends.unionByName(interior(granules).select(cols)).unionByName(first_and_last(granules, revision, PER_REVISION).select(cols)).dropDuplicates([ID, "granule_id"])
+    picked = kept(picked, "picked")
     every = picked.unionByName(opposite_orbit(granules, picked).select(cols)).dropDuplicates([ID, "granule_id"])
     return every.withColumn("place", F.row_number().over(Window.partitionBy(ID).orderBy("begin_time", "granule_id")).cast("long"))
 

@@ -180,7 +180,8 @@ def sample_opposite_orbit(spark: SparkSession, d: str) -> DataFrame:
 
 @query(REV + "," + UNION + " SELECT collection_id, granule_id, row_number() OVER (PARTITION BY collection_id ORDER BY begin_time, granule_id) AS place FROM rev SEMI JOIN al USING (collection_id, granule_id)")
 def sample_union(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.sample(_granules(spark, d)).select(ID, "granule_id", "place")
+    g = _granules(spark, d).select(ID, "granule_id", "begin_time", "revision_date", "orbit")
+    return sampling.sample(g, write=containers.settled).select(ID, "granule_id", "place")
 
 
 @query("SELECT p_brand, p_size AS version, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY CAST(p_size AS STRING) DESC, p_partkey) AS r FROM part) WHERE r = 1")

@@ -182,3 +182,15 @@ def test_pairs_are_judged_in_their_row(spark):
     assert [tuple(r) for r in found.collect()] == [("x", 1, 2, "b", 32)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.index("Join") < plan.index("Aggregate")
+
+
+def test_sample_stores_what_it_reads_again(spark):
+    g = spark.range(60).selectExpr("cast(id % 3 as string) AS collection_id", "id AS granule_id", "date_add(date '2020-01-01', cast(id as int)) AS begin_time", "date_add(date '2021-01-01', cast(id * 7 % 60 as int)) AS revision_date", "CASE WHEN id % 3 = 0 AND id BETWEEN 6 AND 9 THEN 'D' ELSE 'A' END AS orbit")
+    stored = []
+
+    def write(df, name):
+        stored.append(name)
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    assert sorted(map(tuple, sampling.sample(g, write=write).collect())) == sorted(map(tuple, sampling.sample(g).collect()))
+    assert stored == ["granules", "picked"]
