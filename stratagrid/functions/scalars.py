@@ -42,15 +42,20 @@ def dtype_width(dtype: Column) -> Column:
     """Bytes of one element: by name in any case, by code behind a byte-order mark, S<n>; null where it has no fixed width."""
     code = F.regexp_replace(dtype, r"^[><|=]+", "")
     text = F.regexp_extract(code, r"^S(\d+)$", 1)
-    return F.coalesce(_map(NAMED_WIDTHS)[F.lower(dtype)], _map(CODE_WIDTHS)[code], F.when(text != "", text.try_cast("int"))).cast("long")
+    name, widths = F.lower(dtype), sorted(set(NAMED_WIDTHS.values()))
+    named = F.coalesce(*(F.when(name.isin([n for n, w in NAMED_WIDTHS.items() if w == width]), width) for width in widths))
+    return F.coalesce(named, _map(CODE_WIDTHS)[code], F.when(text != "", text.try_cast("int"))).cast("long")
 
 
 def fixed_string(dtype: Column) -> Column:
-    return F.coalesce(dtype.rlike(r"^[><|=]*S[0-9]+$"), F.lit(False))
+    return F.coalesce(dtype.contains("S") & dtype.rlike(r"^[><|=]*S[0-9]+$"), F.lit(False))
 
 
 def product(values: Column) -> Column:
-    return F.aggregate(values, F.lit(1).cast("long"), lambda a, x: a * x.cast("long"))
+    """One to three axes are multiplied without a function for each element."""
+    at = lambda i: F.get(values, F.lit(i)).cast("long")
+    n = F.size(values)
+    return F.when(n == 2, at(0) * at(1)).when(n == 3, at(0) * at(1) * at(2)).when(n == 1, at(0)).otherwise(F.aggregate(values, F.lit(1).cast("long"), lambda a, x: a * x.cast("long")))
 
 
 def array_bytes(shape: Column, dtype: Column) -> Column:
@@ -59,7 +64,7 @@ def array_bytes(shape: Column, dtype: Column) -> Column:
 
 
 def leaf(name: Column) -> Column:
-    return F.element_at(F.split(name, "/"), -1)
+    return F.substring_index(name, "/", -1)
 
 
 def is_coordinate(name: Column) -> Column:
@@ -69,7 +74,7 @@ def is_coordinate(name: Column) -> Column:
 def is_metadata(name: Column) -> Column:
     """A group on the way to the array is named metadata."""
     parts = F.split(F.lower(name), "/")
-    return F.array_contains(F.slice(parts, F.lit(1), F.size(parts) - 1), "metadata")
+    return F.lower(name).contains("metadata/") & F.array_contains(F.slice(parts, F.lit(1), F.size(parts) - 1), "metadata")
 
 
 def chunks_of(chunks: Column, shape: Column) -> Column:
@@ -101,7 +106,7 @@ def cf_value(raw: Column, key: str) -> Column:
 
 
 def time_named(name: Column) -> Column:
-    return F.exists(F.split(F.lower(name), "[^a-z0-9]+"), lambda t: t.rlike(r"^n?times?\d*$"))
+    return F.lower(name).contains("time") & F.exists(F.split(F.lower(name), "[^a-z0-9]+"), lambda t: t.rlike(r"^n?times?\d*$"))
 
 
 def canonical_time(name: Column) -> Column:

@@ -46,7 +46,7 @@ class Archive:
     coords: (collection_id, granule_id, gi, name, first_v, step_v, n); tiffs: (collection_id, granule_id, gi, crs, x0, y0,
     px), x0 null without a tiepoint; locality: (collection_id, granule_id, n_blocks, runs, leading); levels: (collection_id,
     level); attributes: (collection_id, key, value) of grid attributes; materialised: (collection_id, gi, dataset_ok,
-    datatree_ok, error). arrays_of makes arrays of granules, where those are read to make them.
+    datatree_ok, error). arrays_of makes arrays of granules, where those are read to make them, and lays them by collection.
     """
 
     granules: DataFrame
@@ -67,10 +67,14 @@ class Archive:
     def records(self) -> DataFrame:
         return facts.science_records(self.arrays)
 
+    def said(self) -> dict[str, Column]:
+        """properties, as stored with the arrays where they are."""
+        return {p: F.col(f"said{i}") if f"said{i}" in self.arrays.columns else v for i, (p, v) in enumerate(properties().items())}
+
     @cached_property
     def sums(self) -> DataFrame:
         """facts.summed over all properties, and over shapes."""
-        return facts.summed(self.records, properties() | {"shape": F.col("shape")})
+        return facts.summed(self.records, self.said() | {"shape": F.col("shape")})
 
     @cached_property
     def ranks(self) -> DataFrame:
@@ -88,17 +92,19 @@ class Archive:
         """facts.values_of the named properties, where they first differ: the stored ones, or made of nothing else."""
         if "values" in self.__dict__:
             return self.__dict__["values"].where(F.col("property").isin(*names))
-        every = properties()
+        every = self.said()
         return facts.values_of(self.records, facts.first_differing(self.sums, list(names)), {n: every[n] for n in names})
 
     def settle(self, write: Callable[[DataFrame, str], DataFrame]) -> Archive:
         """Facts that many criteria read, each computed once: write(table, name) stores a table and returns it as stored.
 
         Arrays lie by collection, one of very many records in several parts, so that sums before a shuffle leave little of them.
+        They hold each property as flat text, made once, in place of the attributes.
         """
         self.granules = write(self.granules, "granules")
-        arrays = self.arrays if self.arrays_of is None else self.arrays_of(self.granules)
-        self.arrays = write(facts.described(arrays).hint("rebalance", ID), "arrays")
+        arrays = self.arrays.hint("rebalance", ID) if self.arrays_of is None else self.arrays_of(self.granules)
+        flat = facts.described(arrays).withColumns({f"said{i}": p for i, p in enumerate(properties().values())} | {"units": F.element_at("cf", "units")})
+        self.arrays = write(flat.drop("cf", "chunks", "overview", "grid"), "arrays")
         for name in ("counts", "sums", "kinds"):
             self.__dict__[name] = write(getattr(self, name), name)
         self.__dict__["values"] = write(self.values_of(*properties()), "values")
@@ -210,7 +216,8 @@ def s1_cf(a: Archive) -> DataFrame:
     values = a.values_of(*CF_KEYS).where(F.size("values") > 1).withColumn("k", F.array_position(F.array(*map(F.lit, CF_KEYS)), F.col("property")) - 1)
     first = F.struct("rank", "k", say(F.col("name"), ".", F.col("property"), ": ", F.array_join("values", " vs ")).alias("text"))
     found = values.groupBy(ID).agg(F.min(F.when(F.col("k") < 3, first)).alias("decoding"), F.min(F.when(F.col("k") == 3, first)).alias("labelling"))
-    clock = a.arrays.where(s.time_named(s.leaf(F.col("name"))) & ~s.is_metadata(F.col("name"))).withColumn("units", F.element_at("cf", "units")).where("units IS NOT NULL")
+    units = F.col("units") if "units" in a.arrays.columns else F.element_at("cf", "units")
+    clock = a.arrays.where(s.time_named(s.leaf(F.col("name"))) & ~s.is_metadata(F.col("name"))).withColumn("units", units).where("units IS NOT NULL")
     epochs = clock.groupBy(ID, "name").agg(F.count_distinct("units").alias("n"), F.min("units").alias("lo"), F.max("units").alias("hi")).where("n > 1").groupBy(ID).agg(F.min(F.struct("name", "n", "lo", "hi")).alias("epoch"))
     m = a.comparable.groupBy(ID).agg(F.count("*").alias("m"))
     all_ = m.join(found, ID, "left").join(epochs, ID, "left")

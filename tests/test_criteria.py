@@ -185,3 +185,12 @@ def test_sums_of_an_array_are_one_row_each(spark):
     assert sums["x", "w"].differs["chunk shape"] and not any(sums["y", "v"].differs)
     got = {(r.collection_id, r.property, r.name): r["values"] for r in ar.values_of(*criteria.properties()).collect()}
     assert got == {("x", "dtype", "v"): ["float64", "float32"], ("x", "chunk shape", "w"): ["[4, 20]", "[5, 20]"]}
+
+
+def test_stored_arrays_hold_properties_as_flat_text(spark):
+    a = archive(spark, {"x": [probe(pvar("v", cf={"scale_factor": "1", "units": "K"})), probe(pvar("v", cf={"units": "degC"}))]})
+    wrote = {}
+    a.settle(lambda df, name: wrote.setdefault(name, df))
+    assert not {"cf", "chunks", "overview"} & set(wrote["arrays"].columns)
+    assert sorted((r.said0, r.said3, r.said4, r.said6, r.units) for r in wrote["arrays"].collect()) == [("[5, 20]", "1.0", "0.0", "K", "K"), ("[5, 20]", "1.0", "0.0", "degC", "degC")]
+    assert notes(criteria.s1_cf(a)) == {"x": "only labels differ: v.units: K vs degC"}

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import os
+import re
 from collections import Counter
 
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from stratagrid.operators import diagnosis, reports, sampling, verification
 from stratagrid.operators.locality import locality
 from stratagrid.plans import assessment
-from stratagrid.sources import containers, records, sinks
+from stratagrid.sources import binding, containers, records, sinks
 from stratagrid.streaming import ingest
 
 from .builders import probe, pvar
@@ -194,3 +196,16 @@ def test_sample_stores_what_it_reads_again(spark):
 
     assert sorted(map(tuple, sampling.sample(g, write=write).collect())) == sorted(map(tuple, sampling.sample(g).collect()))
     assert stored == ["granules", "picked"]
+
+
+def test_lines_are_sorted_once_for_their_first_and_for_their_granules(spark):
+    data = "/root/testdata/sf0.001"
+    if not os.path.exists(data):
+        pytest.skip("no test tables here")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = binding.arrays(spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(re.findall(r"Sort \[l_orderkey", plan)) == 1
