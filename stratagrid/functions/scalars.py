@@ -215,7 +215,7 @@ def chunk_cell(h2: Column, h3: Column, grid: Column) -> Column:
 
 def filename_of(url: Column) -> Column:
     """The last part of the path without its query; a fragment stays."""
-    return F.element_at(F.split(F.element_at(F.split(url, "/"), -1), r"\?"), 1)
+    return F.substring_index(F.substring_index(url, "/", -1), "?", 1)
 
 
 def name_tokens(url: Column) -> Column:
@@ -227,7 +227,7 @@ def name_tokens(url: Column) -> Column:
 
 def timestamp_token(t: Column) -> Column:
     integer = t.rlike(r"^[+-]?(\d+|0x[0-9a-fA-F]+|0b[01]+|0o[0-7]+)$")
-    return (F.length(F.regexp_replace(t, r"\D", "")) >= TIMESTAMP_DIGITS) | integer
+    return ((F.length(t) >= TIMESTAMP_DIGITS) & (F.length(F.regexp_replace(t, r"\D", "")) >= TIMESTAMP_DIGITS)) | integer
 
 
 def content_of(tokens: Column) -> Column:

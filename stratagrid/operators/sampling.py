@@ -76,16 +76,17 @@ def with_asset_keys(candidates: DataFrame) -> DataFrame:
     """
     sets = candidates.withColumn("_sets", F.transform("urls", s.content_tokens))
     shared = sets.withColumn("_shared", F.aggregate(F.slice("_sets", F.lit(2), F.greatest(F.size("_sets") - 1, F.lit(0))), F.get("_sets", F.lit(0)), lambda a, x: F.array_intersect(a, x)))
-    own = F.transform("_sets", lambda x: F.array_join(F.array_sort(F.array_except(x, "_shared")), "+"))
+    own = F.transform("_sets", lambda x: F.array_join(F.sort_array(F.array_except(x, "_shared")), "+"))
     return shared.withColumn("keys", F.when(F.size("urls") > 1, own).otherwise(F.transform("urls", lambda _: F.lit("")))).drop("_sets", "_shared")
 
 
-def pin_asset(candidates: DataFrame) -> DataFrame:
+def pin_asset(candidates: DataFrame, write: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """(collection_id, granule_id, key, url) from (collection_id, granule_id, urls): the asset that most granules offer.
 
-    Ties go to the lesser key; a granule without it keeps its first candidate and has a null key.
+    Ties go to the lesser key; a granule without it keeps its first candidate and has a null key. Keys are read twice:
+    write(table, name) stores them, so that names are split once.
     """
-    keyed = with_asset_keys(candidates)
+    keyed = (write or (lambda df, _: df))(with_asset_keys(candidates), "keyed")
     offers = keyed.select(ID, "granule_id", F.explode(F.array_distinct("keys")).alias("key")).groupBy(ID, "key").agg(F.count("*").alias("n"))
     best = offers.groupBy(ID).agg(F.min(F.struct((-F.col("n")).alias("n"), "key")).alias("b")).select(ID, F.col("b.key").alias("best"))
     place = F.array_position("keys", F.col("best"))

@@ -100,7 +100,7 @@ off AS (SELECT collection_id, key, count(DISTINCT granule_id) AS n FROM key GROU
 best AS (SELECT DISTINCT ON (collection_id) collection_id, key AS best FROM off ORDER BY collection_id, n DESC, key)
 SELECT key.collection_id, granule_id, max(key) FILTER (key = best) AS key, coalesce(max(url) FILTER (key = best), min(url)) AS url FROM key JOIN best USING (collection_id) GROUP BY ALL""")
 def pin_asset(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.pin_asset(_candidates(spark, d))
+    return sampling.pin_asset(_candidates(spark, d), containers.settled)
 
 
 @query(NAMES + """,

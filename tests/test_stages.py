@@ -56,6 +56,13 @@ def test_assets(spark):
     assert got == {1: ("B02", "u/S_B02.tif"), 2: (None, "u/T_B03.tif"), 3: ("B02", "u/U_B02.tif"), 4: (None, "u/only.tif")}
 
 
+def test_names_of_assets_are_split_once(spark):
+    rows = spark.createDataFrame([("c", 1, ["u/S_B02.tif", "u/S_B03.tif"]), ("c", 2, ["u/T_B03.tif", "u/2020-01-02_123456_B04.tif?x=1"])], "collection_id string, granule_id bigint, urls array<string>")
+    pinned = sampling.pin_asset(rows, containers.settled)
+    assert "array_except" not in pinned._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.granule_id: (r.key, r.url) for r in pinned.collect()} == {1: (None, "u/S_B02.tif"), 2: ("#+B04", "u/2020-01-02_123456_B04.tif?x=1")}
+
+
 def test_resume_merge_abandon_latest(spark):
     todo = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "collection_id string, digest string")
     done = spark.createDataFrame([("a", "1"), ("b", "9"), ("c", None)], "collection_id string, digest string")
