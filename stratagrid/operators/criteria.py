@@ -46,7 +46,7 @@ class Archive:
     coords: (collection_id, granule_id, gi, name, first_v, step_v, n); tiffs: (collection_id, granule_id, gi, crs, x0, y0,
     px), x0 null without a tiepoint; locality: (collection_id, granule_id, n_blocks, runs, leading); levels: (collection_id,
     level); attributes: (collection_id, key, value) of grid attributes; materialised: (collection_id, gi, dataset_ok,
-    datatree_ok, error). arrays_of makes arrays of granules, where those are read to make them, and lays them by collection.
+    datatree_ok, error). arrays_of makes arrays of granules, where those are read to make them.
     """
 
     granules: DataFrame
@@ -102,9 +102,9 @@ class Archive:
         They hold each property as flat text, made once, in place of the attributes.
         """
         self.granules = write(self.granules, "granules")
-        arrays = self.arrays.hint("rebalance", ID) if self.arrays_of is None else self.arrays_of(self.granules)
+        arrays = self.arrays if self.arrays_of is None else self.arrays_of(self.granules)
         flat = facts.described(arrays).withColumns({f"said{i}": p for i, p in enumerate(properties().values())} | {"units": F.element_at("cf", "units")})
-        self.arrays = write(flat.drop("cf", "chunks", "overview", "grid"), "arrays")
+        self.arrays = write(flat.drop("cf", "chunks", "overview", "grid").hint("rebalance", ID), "arrays")
         for name in ("counts", "sums", "kinds"):
             self.__dict__[name] = write(getattr(self, name), name)
         self.__dict__["values"] = write(self.values_of(*properties()), "values")
